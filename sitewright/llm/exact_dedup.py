@@ -57,7 +57,7 @@ def merge_runs(runs: DataFrame, fan_in_bits: int = 5, rounds: int = 2) -> DataFr
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in_bits: int = 5, rounds: int = 2) -> DataFrame:
     """id, keep_id, group_size, kept, text_sha256 for every row."""
     rows = written(digest_rows(docs, id_col, text_col), "digests")
-    groups = merge_runs(rows, fan_in_bits, rounds)
+    groups = written(merge_runs(rows, fan_in_bits, rounds), "groups")  # so that the join's tasks can be split where a digest is hot
     return rows.join(groups, ["digest", "n_bytes"]).select(
         F.col("id"),
         F.col("best.id").alias("keep_id"),

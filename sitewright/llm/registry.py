@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding, warc
+from . import bpe, exact_dedup, pii, sharding, warc
 from .common import table
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,6 +33,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 OP1_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
@@ -57,7 +74,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_warc": op1_warc, "op2_sharding": op2_sharding, "op6_exact_dedup": op6_exact_dedup}
+    return {"op1_warc": op1_warc, "op2_sharding": op2_sharding, "op3_pii": op3_pii, "op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, written
 
 PIECE = 64 * 1024
 EPOCH = "1970-01-01T00:00:00Z"
@@ -167,6 +167,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), base32_sha1_column(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes")
     )
     repeated = rows.filter(F.col("payload_bytes") >= least_revisit_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    repeated = written(repeated, "repeated-payloads")
     return rows.join(repeated, ["payload_digest", "payload_bytes"], "left").select(
         "page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to")
     )
