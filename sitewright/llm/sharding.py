@@ -152,7 +152,7 @@ def assign_shards(rows: DataFrame, shards: int = 16, grain: int = 256, rows_per_
     groups = rows.groupBy("group_key").agg(F.sum("size").alias("group_size"))
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     grain_bytes = max(1, total // (shards * grain))
-    buckets = max(1, min(most_buckets, n // rows_per_bucket + 1))
+    buckets = min(most_buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // rows_per_bucket + 1))
     spread = groups.withColumn("bucket", F.pmod(F.xxhash64("group_key"), F.lit(buckets)).cast("int")).withColumn("bucket", F.when(F.col("group_size") > grain_bytes, F.lit(-1)).otherwise(F.col("bucket")))
     small = (
         spread.filter("bucket >= 0")
