@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, pii, sharding, warc
+from . import bpe, decontaminate, exact_dedup, pii, sharding, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -41,6 +41,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 OP1_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
@@ -74,7 +78,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_warc": op1_warc, "op2_sharding": op2_sharding, "op3_pii": op3_pii, "op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup}
+    return {"op1_warc": op1_warc, "op2_sharding": op2_sharding, "op3_pii": op3_pii, "op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_decontaminate": op7_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
