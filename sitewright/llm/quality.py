@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, text_or_empty
 
 GOOD, BAD, NONE = 1, 0, 2
-LABELLERS = 11
+LABELLERS = 12
 SHORT = 12  # words
 SIGNS = "#$%&*|<>{}=~^\\@_+"
 TAIL = frozenset(SIGNS)
 BITS = 16
 SAMPLE = 20_000
-#: By class, shares of the votes bad, good and none that a labeller is presumed to cast.
-PRESUMED = {BAD: (0.3, 0.5, 0.2), GOOD: (0.005, 0.895, 0.1)}
+#: By class, shares of the votes bad and good that a labeller is presumed to cast.
+PRESUMED = {BAD: (0.4, 0.6), GOOD: (0.005, 0.995)}
 SCHEMA = "doc_id long, score double, posterior double, accepted boolean"
 
 
@@ -49,6 +49,7 @@ def measures(text: str) -> dict[str, float]:
         "bangs": text.count("!!") / n,
         "shouted": sum(map(str.isupper, words)) / n,
         "again": sum(map(eq, words, words[1:])) / n,
+        "again_soon": sum(map(eq, words, words[2:])) / n,
         "distinct": len(set(words)) / n,
         "lines_again": 1 - len(set(lines)) / max(1, len(lines)),
         "length": sum(map(len, words)) / n,
@@ -75,6 +76,7 @@ def votes(m: dict[str, float]) -> tuple[int, ...]:
         _vote(m["bangs"], (0, 0.02), bad_above=0.1),
         _vote(m["shouted"], (0, 0.1), bad_above=0.5),
         _vote(m["again"], (0, 0.02), bad_above=0.1),
+        _vote(m["again_soon"], (0, 0.08), bad_above=0.2),
         _vote(m["distinct"], (0.4, 1), bad_below=0.1 if long else 0),
         _vote(m["lines_again"], (0, 0.05), bad_above=0.4),
         _vote(m["length"], (3, 8.2), bad_above=8.6, bad_below=2),
@@ -96,9 +98,10 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[f
         share = float((good * weight).sum() / weight.sum())
         table = np.empty((2, v.shape[1], 3))
         for c, part in ((BAD, (1 - good) * weight), (GOOD, good * weight)):
-            for k in range(3):
+            for k in (BAD, GOOD):
                 table[c, :, k] = ((v == k) * part[:, None]).sum(0) + presumed * PRESUMED[c][k] + 0.5
-            table[c] /= table[c].sum(1, keepdims=True)
+            table[c] /= table[c][:, [BAD, GOOD]].sum(1, keepdims=True)
+            table[c, :, NONE] = 1.0  # no vote says nothing of the class
         new = posterior(v, share, table)
         if np.abs(new - good).max() < 1e-6:
             break
@@ -194,7 +197,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[
     counted = texts.mapInArrow(vote, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     patterns = {tuple(map(int, r.pattern)): r.n for r in counted}
     if not patterns:
-        return 0.5, np.full((2, LABELLERS, 3), 1 / 3), np.zeros((1 << BITS) + 1)
+        return 0.5, np.ones((2, LABELLERS, 3)), np.zeros((1 << BITS) + 1)
     share, table = estimate(patterns)
     rate = min(1.0, sample / sum(patterns.values()))
     drawn = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1)
