@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, pii, quality, sharding, substring, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, neardup, pii, quality, sharding, substring, toxicity, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -58,6 +58,10 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(table(spark, sf_dir, "documents")).drop("node")
+
+
 OP1_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
@@ -91,7 +95,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_warc": op1_warc, "op2_sharding": op2_sharding, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_decontaminate": op7_decontaminate, "op8_substring": op8_substring, "op10_toxicity": op10_toxicity}
+    return {"op1_warc": op1_warc, "op2_sharding": op2_sharding, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_decontaminate": op7_decontaminate, "op8_substring": op8_substring, "op9_neardup": op9_neardup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
