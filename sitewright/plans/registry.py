@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import relational_queries, scalar_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return scalar_queries.QUERIES | relational_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return scalar_queries.ORACLE | relational_queries.ORACLE
