@@ -153,6 +153,7 @@ def encode_component(x: Column) -> Column:
 
 
 def record_prefix(project: Column, scope: Column, kind: str) -> Column:
+    """The fixed layout of stored ids: layout name, version, project, scope, kind."""
     return F.concat(F.lit(f"ss:{SCHEMA_VERSION}:"), project, F.lit(":"), scope, F.lit(f":{kind}:"))
 
 

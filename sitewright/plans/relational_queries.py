@@ -88,7 +88,7 @@ QUERIES = {
     "page_markdown": lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("markdown")),
     "list_pages": lambda s, d: diff.dedupe_first(site_pages(s, d).select("page_id", "url"), "url", "page_id").filter("url > '/en/5'").orderBy("url").limit(50),
     "limit_max_pages": lambda s, d: site_pages(s, d).select("url", "page_id").orderBy("url", "page_id").limit(100),
-    "llms_txt_lines": lambda s, d: _hits(s, d).select(F.concat(F.lit("- ["), "title", F.lit("]("), "url", F.lit(")")).alias("line"), "depth", "incoming_links", F.row_number().over(Window.orderBy("depth", F.desc("incoming_links"), "url", "page_id")).alias("nth")).filter("nth <= 500").select(F.col("nth").cast("long").alias("nth"), "line"),
+    "llms_txt_lines": lambda s, d: _hits(s, d).select(F.concat(F.lit("- ["), "title", F.lit("]("), "url", F.lit(")")).alias("line"), "depth", "incoming_links", "url", "page_id").orderBy("depth", F.desc("incoming_links"), "url", "page_id").limit(500).withColumn("nth", F.row_number().over(Window.orderBy("depth", F.desc("incoming_links"), "url", "page_id"))).select(F.col("nth").cast("long").alias("nth"), "line"),
     "prune_scopes": lambda s, d: diff.select_stale_scopes(table(s, d, "events").groupBy("user_id").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("last_indexed_ms")).select(F.concat(F.lit("u"), "user_id").alias("scope_name"), "last_indexed_ms"), ["u1", "u2"], ["u3"], 1_800_000_000_000, 86_400_000).select("scope_name"),
     "boost_rank": lambda s, d: _scored(s, d).select("page_id", "final"),
     "score_breakdown": lambda s, d: _scored(s, d).drop("url"),
@@ -123,8 +123,8 @@ CLASSES = f"(SELECT CASE WHEN b.doc_id IS NULL THEN 'new' WHEN a.doc_id IS NULL
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 COS = f"round({DOT.format(a='a.embedding', b='q.embedding')} / sqrt({DOT.format(a='a.embedding', b='a.embedding')} * {DOT.format(a='q.embedding', b='q.embedding')}), 6)"
 JUDGED = f"(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS qid, a.vec_id, (a.label = q.label)::INTEGER AS relevance, {COS} AS score FROM embeddings a, embeddings q WHERE a.vec_id >= 10 AND q.vec_id < 10))"
-NODES = f"(SELECT DISTINCT at FROM (SELECT unnest(list_transform(range(0, len(p) + 1), lambda n: '/' || array_to_string(p[1:n], '/'))) AS at FROM (SELECT list_filter(string_split(url, '/'), lambda s: s <> '') AS p FROM ({PAGES_SQL}))))"
-TREE = f"(SELECT at AS url, CASE WHEN at <> '/' THEN regexp_replace(regexp_replace(at, '/[^/]*$', ''), '^$', '/') END AS parent_url FROM {NODES})"
+NODES = f"(SELECT DISTINCT node FROM (SELECT unnest(list_transform(range(0, len(p) + 1), lambda n: '/' || array_to_string(p[1:n], '/'))) AS node FROM (SELECT list_filter(string_split(url, '/'), lambda s: s <> '') AS p FROM ({PAGES_SQL}))))"
+TREE = f"(SELECT node AS url, CASE WHEN node <> '/' THEN regexp_replace(regexp_replace(node, '/[^/]*$', ''), '^$', '/') END AS parent_url FROM {NODES})"
 
 ORACLE = {
     "dedupe_first": f"SELECT min(page_id) AS page_id, url FROM ({PAGES_SQL}) GROUP BY url",
