@@ -13,7 +13,7 @@ written down and joined back by Spark's own choice. Matches are summed per docum
 
 Defined results: null texts are empty; items with no window that counts match nothing; items and documents may repeat
 (each row of either counts by its id and text); empty tables give no rows; other columns are left alone. Names are
-capitalised words that do not begin a sentence.
+words with one capital, the first, that do not begin a sentence; words all in capitals are words.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def template(text: Column) -> Column:
     """The text with placeholders, lowered and without punctuation."""
     text = F.regexp_replace(text, f"(?i)[0-9]+(?:[.,:/][0-9]+)*\\s?(?:{UNITS})\\b", f" {NUMBER} {UNIT} ")
     text = F.regexp_replace(text, "[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
-    text = F.regexp_replace(text, "(?<=[^.!?\\s]\\s)\\p{Lu}\\p{L}*", NAME)
+    text = F.regexp_replace(text, "(?<=[^.!?\\s]\\s)\\p{Lu}\\p{Ll}+(?!\\p{L})", NAME)
     return F.translate(F.lower(text), PUNCTUATION, "")
 
 
