@@ -10,9 +10,10 @@ that smooths the weight. Two texts are near duplicates if their weighted Jaccard
 2. In each bucket the node that meets most others is the pivot, and the others are compared with it (one row each,
    never all pairs). Links come from exact weighted similarities alone, and components from large-star / small-star
    rounds over links.
-3. Buckets that hold several components go on: more nodes outside the largest component become pivots (four times as
-   many in each round) and are compared with all nodes of other components, until each node outside it has been a
-   pivot. So two texts of a bucket that are not in one class have been compared, and no link between classes is lost.
+3. Buckets that still hold several components are compared in blocks. Every node outside a bucket's largest component
+   is compared with every node of the bucket's other components, so no link between classes is lost. Both sides are
+   dealt by hash into blocks of bounded rows and bytes; a block holds each of its texts once and gives one link for
+   each pair of components it joins, so neither text pairs nor all links are ever rows.
 
 Defined results: a text of one to four words is one shingle of all its words; null, empty and blank texts have none
 and are near duplicates only of texts equal to them; ids may be null or repeat (the smallest id that is not null names
@@ -27,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import arrow_rows, text_or_empty, written
 from .wordhash import BASES, Powers, Words, chunks, mix
@@ -36,7 +36,7 @@ SHINGLE = 5
 BANDS, ROWS = 12, 4
 TABLE_BITS = 18
 DRAWS = 1 << 16
-PIVOT_GROWTH = 4
+BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20  # of each side of a block
 
 
 class Shingler:
@@ -212,6 +212,83 @@ def compared(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, similarity
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary")
 
 
+def joining_links(group: np.ndarray, is_pivot: np.ndarray, root: np.ndarray, texts: list[bytes], shingler: Shingler, weights: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Row numbers of links between pivots and members of one group that join different roots; rows are sorted by
+    group, pivots first, and each text has shingles."""
+    doc, hashes, tf = shingler.shingles(texts)
+    w = weigh(hashes, tf, weights)
+    codes = np.unique(hashes, return_inverse=True)[1]
+    at = np.searchsorted(doc, np.arange(len(texts) + 1))
+    total = np.add.reduceat(w, at[:-1])
+    one = np.zeros(len(codes))  # a pivot's weights, by code
+    out = []
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    for first, end in zip(starts, np.append(starts[1:], len(group)), strict=True):
+        middle = first + int(is_pivot[first:end].sum())
+        if middle in (first, end):
+            continue
+        label = root[first:end].copy()
+        members = label[middle - first :]  # a view: changes with label
+        c, v, cuts = codes[at[middle] : at[end]], w[at[middle] : at[end]], at[middle:end] - at[middle]
+        for i in range(first, middle):
+            if (members == label[i - first]).all():
+                continue
+            own = slice(at[i], at[i + 1])
+            one[codes[own]] = w[own]
+            low = np.add.reduceat(np.minimum(one[c], v), cuts)
+            one[codes[own]] = 0
+            near = low >= (similarity - 1e-9) * (total[i] + total[middle:end] - low)
+            for j in np.flatnonzero(near & (members != label[i - first])).tolist():
+                if members[j] != label[i - first]:
+                    out.append((i, middle + j))
+                    label[label == members[j]] = label[i - first]
+    return out
+
+
+def block_links(placed: DataFrame, texts: DataFrame, weights: np.ndarray, similarity: float, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links (a, b) that join roots within buckets. placed: bucket, node, root, waiting, n_bytes; the waiting nodes of a
+    bucket are compared with all its nodes of other roots."""
+    shared = placed.sparkSession.sparkContext.broadcast(weights)
+    parts = lambda rows, size: F.ceil(F.greatest(rows / block_rows, size / block_bytes)).cast("int")
+    waits, size = F.col("waiting").cast("long"), F.col("n_bytes")
+    cut = placed.groupBy("bucket").agg(parts(F.sum(waits), F.sum(waits * size)).alias("np"), parts(F.count("*"), F.sum(size)).alias("nq"))
+    dealt = placed.join(written(cut, "blocks"), "bucket")
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pivots = dealt.filter("waiting").select("bucket", own(F.col("np")).alias("p"), every("nq").alias("q"), F.lit(0).alias("side"), "node", "root")
+    members = dealt.select("bucket", every("np").alias("p"), own(F.col("nq")).alias("q"), F.lit(1).alias("side"), "node", "root")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, held, held_bytes = Shingler(), [], 0
+
+        def links(rows: pa.Table) -> pa.RecordBatch:
+            keys = [rows.column(n).to_numpy() for n in ("bucket", "p", "q")]
+            group = np.cumsum(np.concatenate([[False], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
+            node, root = rows.column("node").to_pylist(), rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+            found = joining_links(group, rows.column("side").to_numpy() == 0, root, [t.encode() for t in rows.column("text").to_pylist()], shingler, shared.value, similarity)
+            return pa.RecordBatch.from_pydict({"a": pa.array([node[i] for i, _ in found], pa.binary()), "b": pa.array([node[j] for _, j in found], pa.binary())})
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                piece = batch.slice(i, 256)
+                held.append(piece)
+                held_bytes += sum(map(len, piece.column(6).to_pylist()))
+                if held_bytes < block_bytes:
+                    continue
+                rows = pa.Table.from_batches(held)
+                last = [rows.column(n).to_numpy() for n in ("bucket", "p", "q")]
+                whole = int(np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in last]))[-1:].sum() + 1) if any((k != k[-1]).any() for k in last) else 0
+                if whole:  # rows of groups that have ended
+                    yield links(rows.slice(0, whole))
+                    rows = rows.slice(whole)
+                held, held_bytes = rows.to_batches(), sum(map(len, rows.column("text").to_pylist()))
+        if held and sum(b.num_rows for b in held):
+            yield links(pa.Table.from_batches(held))
+
+    rows = written(pivots.unionByName(members), "dealt").join(texts.select("node", "text"), "node").select("bucket", "p", "q", "side", "node", "root", "text")
+    return rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "side").mapInArrow(compare, "a binary, b binary")
+
+
 def near_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, node, class_id, class_size and kept for every document; node is the key of its text."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -225,30 +302,23 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     degree = written(members.groupBy("node").agg(F.sum("size").alias("degree")), "degrees")
     members = written(members.drop("size").join(degree, "node"), "met")
     keyed = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("node"))
-    texts = written(keyed.join(degree.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = written(keyed.join(degree.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).withColumn("n_bytes", F.octet_length("text")), "texts")
 
     # first pivots: the node of a bucket that meets most others
     top = written(members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top")).select("bucket", F.col("top.node").alias("pivot")), "pivots")
     pairs = members.join(top, "bucket").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = written(compared(pairs, texts, weights, similarity), "links")
-    served = top.select("bucket", F.col("pivot").alias("node"))
     roots = written(components(links), "roots")
-    many = PIVOT_GROWTH
-    while True:
-        placed = members.join(roots, "node", "left").select("bucket", "node", "degree", F.coalesce("root", "node").alias("root"))
-        sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        mixed = written(sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", F.col("largest.root").alias("main")), "mixed")
-        placed = written(placed.join(mixed, "bucket"), "placed")
-        waiting = placed.filter("root <> main").join(served, ["bucket", "node"], "left_anti")
-        order = Window.partitionBy("bucket").orderBy(F.desc("degree"), "node")
-        pivots = written(waiting.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= many).select("bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivots")
-        if pivots.isEmpty():
-            break
-        pairs = placed.join(pivots, "bucket").filter("root <> pivot_root").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        links = written(links.unionByName(compared(pairs, texts, weights, similarity)), "links")
-        served = written(served.unionByName(pivots.select("bucket", F.col("pivot").alias("node"))), "served")
-        roots = written(components(links), "roots")
-        many *= PIVOT_GROWTH
+
+    # buckets of two nodes are done; in others that hold several components, all but the largest wait
+    placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("nodes"))
+    mixed = written(mixed.filter("parts > 1 AND nodes > 2").select("bucket", F.col("largest.root").alias("main")), "mixed")
+    placed = placed.join(mixed, "bucket").join(texts.select("node", "n_bytes"), "node").select("bucket", "node", "root", (F.col("root") != F.col("main")).alias("waiting"), "n_bytes")
+    more = written(block_links(written(placed, "placed"), texts, weights, similarity), "more-links")
+    if not more.isEmpty():
+        roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
 
     by_node = rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     classes = written(by_node.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
