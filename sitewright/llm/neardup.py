@@ -301,8 +301,9 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     members = written(spread.join(met, "bucket"), "members")
     degree = written(members.groupBy("node").agg(F.sum("size").alias("degree")), "degrees")
     members = written(members.drop("size").join(degree, "node"), "met")
-    keyed = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("node"))
-    texts = written(keyed.join(degree.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).withColumn("n_bytes", F.octet_length("text")), "texts")
+    # always a merge join: what meets grows with the corpus, and texts are dealt by node once for join and aggregation
+    keyed = docs.select("text", F.unhex(F.md5("text")).alias("node"))
+    texts = written(keyed.join(degree.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).withColumn("n_bytes", F.octet_length("text")), "texts")
 
     # first pivots: the node of a bucket that meets most others
     top = written(members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top")).select("bucket", F.col("top.node").alias("pivot")), "pivots")
