@@ -36,7 +36,7 @@ SHINGLE = 5
 BANDS, ROWS = 12, 4
 TABLE_BITS = 18
 DRAWS = 1 << 16
-BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20  # of each side of a block
+BLOCK_ROWS, BLOCK_BYTES = 1024, 2 << 20  # of each side of a block
 
 
 class Shingler:

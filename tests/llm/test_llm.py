@@ -241,3 +241,35 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = C.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in out) in ([2, 6], [3, 6])
+
+
+@pytest.mark.parametrize("limits", [(3, 1 << 20), (1024, 500), (1024, 1 << 21)])
+def test_near_blocks(spark, limits):
+    """Blocks of any size join the same nodes of each bucket as comparing all pairs does."""
+    rng = random.Random(5)
+    base = [f"v{i}" for i in range(60)]
+    texts = [" ".join(rng.choice("xyz") + str(rng.random()) if rng.random() < 0.04 else w for w in base) for _ in range(40)]
+    texts += ["one", "one two three four five six"] + [" ".join(base)] * 2
+    weights = neardup.place_weights(np.ones(1 << neardup.TABLE_BITS), 100)
+    nodes = [i.to_bytes(2, "big") for i in range(len(texts))]
+    bucket = [[i for i in range(len(texts)) if i % 3 != 1], [i for i in range(len(texts)) if i % 3 != 2]]
+    main = 4  # of each bucket the nodes below it are one class already, and do not wait
+    root = [nodes[0] if i < main else nodes[i] for i in range(len(texts))]
+    rows = [(k, nodes[i], root[i], i >= main, len(texts[i])) for k, b in enumerate(bucket) for i in b]
+    placed = spark.createDataFrame(rows, "bucket long, node binary, root binary, waiting boolean, n_bytes int")
+    table = spark.createDataFrame(list(zip(nodes, texts, strict=True)), "node binary, text string")
+    found = neardup.block_links(placed, table, weights, 0.8, *limits).collect()
+
+    def classes(links):
+        up = {n: r for n, r in zip(nodes, root, strict=True)}
+        for a, b in links:
+            x, y = up[a], up[b]
+            up = {n: min(x, y) if r in (x, y) else r for n, r in up.items()}
+        return up
+
+    every = {(i, j) for b in bucket for i in b for j in b if i < j}
+    pairs = sorted(every)
+    sims = neardup.similarities([texts[i].encode() for i, _ in pairs], [texts[j].encode() for _, j in pairs], neardup.Shingler(), weights)
+    true = {(nodes[i], nodes[j]) for (i, j), s in zip(pairs, sims, strict=True) if s >= 0.8 - 1e-9}
+    links = {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in found}
+    assert links and links <= true and classes(links) == classes(true)
