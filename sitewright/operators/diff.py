@@ -60,3 +60,23 @@ def select_stale_scopes(scopes: DataFrame, keep: list[str], protected: list[str]
         old = F.col("last_indexed_ms").isNotNull() & (now_ms - F.col("last_indexed_ms") > older_than_ms)
         rule = F.col("last_indexed_ms").isNotNull() & ((by_list | old) if any_rule else (by_list & old))
     return scopes.filter(rule & (~F.col("scope_name").isin(*protected) if protected else F.lit(True)))
+
+
+def gate_report(statuses: DataFrame, by: str, max_ratio: float = 0.5) -> DataFrame:
+    """For each kind of record: n_stored, n_stale, ratio and blocked, from classified keys (by, status)."""
+    stored = F.count(F.when(F.col("status") != "new", 1))
+    gone = F.count(F.when(F.col("status") == "stale", 1))
+    ratio = F.when(stored == 0, F.lit(0.0)).otherwise(gone / stored)
+    return statuses.groupBy(by).agg(stored.alias("n_stored"), gone.alias("n_stale"), F.round(ratio, 9).alias("ratio"), (ratio > max_ratio).alias("blocked"))
+
+
+def remote_branches(listing: str, remotes: list[str]) -> set[str] | None:
+    """Branch names in a listing of remote references; None where it cannot be trusted: no remotes, or no branches."""
+    names = (line.strip().removeprefix("'").removesuffix("'") for line in listing.splitlines())
+    found = set()
+    for name in names:
+        if "/" in name:
+            remote = next((r for r in remotes if name.startswith(f"{r}/")), None)
+            found.add(name.removeprefix(f"{remote}/") if remote else name)
+    found -= {"HEAD", ""}
+    return found if remotes and found else None

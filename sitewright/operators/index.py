@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,21 @@ from ..functions import scalars as S
 from . import diff, links as L, pages as P
 
 
+Change = Callable[[DataFrame], DataFrame]
+
+
+@dataclass(frozen=True)
+class Hooks:
+    """What a user does to a run, as DataFrame functions: transform_page and transform_chunk drop or change rows (custom
+    pages stay custom), before_index sees all chunks, after_index the stats once all is written; its error is raised and
+    undoes nothing."""
+
+    transform_page: Change = lambda pages: pages
+    transform_chunk: Change = lambda chunks: chunks
+    before_index: Change = lambda chunks: chunks
+    after_index: Callable[[RunStats], None] = lambda stats: None
+
+
 @dataclass
 class RunStats:
     status: dict[str, int] = field(default_factory=dict)
@@ -40,13 +56,20 @@ class Index:
         name = self._current()
         return self.spark.read.parquet(f"{self.base}/{name}/{kind}") if name else None
 
-    def run(self, source: DataFrame, main: str = "main", warnings: tuple[str, ...] = (), max_ratio: float = 0.5, allow_empty: bool = False, accepted: bool = False, dry_run: bool = False) -> RunStats:
-        """source: url, html. Stored rows that the source lacks are deleted only if the gate lets them be."""
+    def run(self, source: DataFrame, main: str = "main", warnings: tuple[str, ...] = (), max_ratio: float = 0.5, allow_empty: bool = False, accepted: bool = False, dry_run: bool = False, custom: DataFrame | None = None, hooks: Hooks = Hooks()) -> RunStats:
+        """source: url, html. Stored rows that the source lacks are deleted only if the gate lets them be. custom: records
+        (url, title, content, tags, weight); None says nothing of stored custom pages, so they stay, an empty table that
+        there are none. Chunks of unknown pages are dropped."""
         found = P.extract_pages(source, main=main).withColumn("url", S.resolve_path(F.col("url"))).cache()
-        pages = diff.dedupe_first(found.filter("status = 'indexed'"), "url", "title")
+        extracted = found.filter("status = 'indexed'").withColumn("custom", F.lit(False))
+        if custom is not None:
+            own = P.custom_pages(custom).withColumn("links", F.array().cast(found.schema["links"].dataType))
+            extracted = extracted.unionByName(own, allowMissingColumns=True)
+        pages = hooks.transform_page(extracted.withColumnRenamed("custom", "_custom")).withColumnRenamed("_custom", "custom")
+        pages = diff.dedupe_first(pages, "url", "custom", "title")
         edges = pages.select(F.col("url").alias("src_url"), F.explode("links").alias("l")).select("src_url", F.col("l.url").alias("dst_url"), F.col("l.anchor_text").alias("anchor_text"))
         pages = L.with_incoming(pages, edges)
-        pages = pages.withColumn("content_hash", S.page_hash(F.col("title"), F.col("description"), F.col("keywords"), F.col("tags"), F.col("markdown"), F.size("links"), F.col("published_at"), F.lit(""), F.lit(False), F.col("weight"), F.col("links.url"), F.lit("{}"))).withColumn("depth", S.url_depth(F.col("url"))).withColumn("summary", S.page_summary(F.col("title"), F.col("description"), F.col("keywords"), F.col("markdown")))
+        pages = pages.withColumn("content_hash", S.page_hash(F.col("title"), F.col("description"), F.col("keywords"), F.col("tags"), F.col("markdown"), F.size("links"), F.col("published_at"), F.lit(""), F.col("custom"), F.col("weight"), F.col("links.url"), F.lit("{}"))).withColumn("depth", S.url_depth(F.col("url"))).withColumn("summary", S.page_summary(F.col("title"), F.col("description"), F.col("keywords"), F.col("markdown")))
         stored = self.read()
         failed = found.filter("status = 'failed'").select("url")
         stats = RunStats()
@@ -56,19 +79,23 @@ class Index:
         else:
             stats.status = {r.status: r.n for r in diff.classify(pages, stored, "url").groupBy("status").agg(F.count("*").alias("n")).collect()}
             gone = diff.stale(stored, pages, "url")
-            removed = gone.join(failed, "url", "left_anti")
+            removed = diff.stale(stored, pages, "url", custom_records_given=custom is not None).join(failed, "url", "left_anti")
             n_stored, n_gone = stored.count(), removed.count()
-            notes = warnings + (("failed-pages",) if not failed.isEmpty() else ())
+            empty = custom is not None and not P.empty_records(custom).isEmpty()
+            notes = warnings + (("failed-pages",) if empty or not failed.isEmpty() else ())
             stats.gate = diff.deletion_gate(n_stored, n_gone, found.count(), notes, max_ratio, allow_empty, accepted)
             stats.deleted = n_gone if stats.gate.eligible else 0
-            kept = gone.join(failed, "url", "left_semi") if stats.gate.eligible else gone
+            kept = gone.join(removed.select("url"), "url", "left_anti") if stats.gate.eligible else gone
             merged = pages.unionByName(kept, allowMissingColumns=True)
         if not dry_run:
             name = f"snapshot-{uuid.uuid4().hex}"
             merged.write.parquet(f"{self.base}/{name}/pages")
             written = self.spark.read.parquet(f"{self.base}/{name}/pages")
-            P.chunk_pages(written).write.parquet(f"{self.base}/{name}/chunks")
+            chunks = hooks.before_index(hooks.transform_chunk(P.chunk_pages(written)))
+            chunks.join(written.select("url"), "url", "left_semi").write.parquet(f"{self.base}/{name}/chunks")
             self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.base}/current")
             stats.snapshot = name
         found.unpersist()
+        if not dry_run:
+            hooks.after_index(stats)
         return stats

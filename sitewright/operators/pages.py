@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import chunking, html
+from ..functions import chunking, components, html, markdown
+from ..functions import scalars as S
 
 EXTRACT_SCHEMA = "url string, status string, reason string, title string, markdown string, description string, keywords array<string>, tags array<string>, links array<struct<url:string,anchor_text:string>>, weight double, published_at string"
 CHUNK_SCHEMA = "url string, ordinal int, section string, level int, path array<string>, text string"
+MARKDOWN_SCHEMA = "url string, status string, reason string, title string, markdown string, description string, keywords array<string>, tags array<string>, weight double, published_ms long, meta map<string,string>"
+COMPONENT_SCHEMA = "path string, markdown string, is_component boolean, description string, props array<struct<name:string,type:string,default:string>>"
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -43,3 +47,54 @@ def chunk_pages(pages: DataFrame, url_col: str = "url", markdown_col: str = "mar
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return pages.select(F.col(url_col).cast("string"), F.col(markdown_col)).mapInArrow(run, CHUNK_SCHEMA)
+
+
+def extract_markdown(files: DataFrame, url_col: str = "url", markdown_col: str = "markdown", prefix: str = "search") -> DataFrame:
+    """One row a markdown file, whatever becomes of it: indexed, excluded or failed."""
+    schema = _schema(MARKDOWN_SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"url": u} | markdown.extract(u or "", m, prefix=prefix) for u, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pylist([r | {"meta": list(r["meta"].items())} for r in rows], schema=schema)
+
+    return files.select(S.normalize_url_path(F.col(url_col).cast("string")).alias("url"), F.col(markdown_col)).mapInArrow(run, MARKDOWN_SCHEMA)
+
+
+def component_pages(files: DataFrame, path_col: str = "path", source_col: str = "source") -> DataFrame:
+    """path, markdown, is_component, description, props of markup files; null source counts as empty."""
+    schema = _schema(COMPONENT_SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text, is_component = components.page_text(path or "", source)
+                rows.append({"path": path, "markdown": text, "is_component": is_component} | (components.describe(source) if is_component else {"description": None, "props": []}))
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return files.select(path_col, source_col).mapInArrow(run, COMPONENT_SCHEMA)
+
+
+def with_excerpts(rows: DataFrame, text_col: str, query_col: str, out: str = "excerpt", length: int = S.SNIPPET_LENGTH) -> DataFrame:
+    """Adds the excerpt of markdown text around each row's query; null text or query counts as empty."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, queries: pd.Series) -> pd.Series:
+        return pd.Series([chunking.excerpt(t or "", q or "", length) for t, q in zip(texts, queries, strict=True)], dtype=object)
+
+    return rows.withColumn(out, cut(S.markdown_to_plain(F.col(text_col)), F.col(query_col)))
+
+
+def custom_pages(records: DataFrame) -> DataFrame:
+    """Records (url, title, content, tags, weight) as pages: url, title, markdown, tags, weight, custom. The first
+    segment of the url is a tag too. A record without content gives no page and is not a wish to delete one: callers
+    count those as warnings with `empty_records`."""
+    url = S.normalize_url_path(F.col("url"))
+    tags = F.array_distinct(F.concat(F.slice(S.segments(url), 1, 1), F.coalesce("tags", F.array().cast("array<string>"))))
+    pages = records.select(url.alias("url"), "title", S.normalize_markdown(F.coalesce("content", F.lit(""))).alias("markdown"), tags.alias("tags"), F.col("weight").cast("double").alias("weight"), F.lit(True).alias("custom"))
+    return pages.filter(S.trim_blanks(F.col("markdown")) != "")
+
+
+def empty_records(records: DataFrame) -> DataFrame:
+    return records.filter(S.trim_blanks(F.coalesce("content", F.lit(""))) == "").select(S.normalize_url_path(F.col("url")).alias("url"))

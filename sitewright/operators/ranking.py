@@ -78,3 +78,14 @@ def measures(ranked: DataFrame, k: int) -> DataFrame:
         F.sum(F.when(F.col("ideal") <= k, best).otherwise(0.0)).alias("idcg"),
     )
     return out.select("qid", "reciprocal_rank", "precision", F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"))
+
+
+def with_sections(ranked: DataFrame, sections: DataFrame, key: str, score: str, tie: str, expanded: int = 10, most: int = 5) -> DataFrame:
+    """Adds best sections to ranked rows (key, rank): the first `most` of each of the `expanded` best rows, by score;
+    rows further down, and rows without sections, have one row with null in the columns of sections. The expanded keys
+    are a bounded report, so sections of all others go before any shuffle of them."""
+    best = ranked.filter(F.col("rank") <= expanded).select(key).orderBy("rank").limit(expanded)
+    near = sections.join(F.broadcast(best), key, "left_semi")
+    order = Window.partitionBy(key).orderBy(F.desc(score), tie)
+    near = near.withColumn("section_rank", F.row_number().over(order)).filter(F.col("section_rank") <= most)
+    return ranked.join(near, key, "left")

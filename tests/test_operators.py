@@ -1,5 +1,5 @@
-from sitewright.operators import diff, links as L, ranking as R
-from sitewright.operators.index import Index
+from sitewright.operators import diff, links as L, ranking as R, retrieval
+from sitewright.operators.index import Hooks, Index
 from sitewright.streaming import watch as W
 
 
@@ -69,3 +69,30 @@ def test_watch(spark, tmp_path):
     query = W.watch(spark, str(tmp_path / "in"), "id long", lambda b: seen.append(b.count()), str(tmp_path / "state"))
     query.awaitTermination(60)
     assert sum(seen) == 3
+
+
+def test_custom_records_and_hooks(spark, tmp_path):
+    index, seen = Index(spark, str(tmp_path), "p", "main"), []
+    source = spark.createDataFrame([(f"https://a.b/{i}", page(f"orbit {i}")) for i in range(5)], "url string, html string")
+    schema = "url string, title string, content string, tags array<string>, weight double"
+    records = spark.createDataFrame([("/c/1/", "own", "words", ["t"], None)], schema)
+    hooks = Hooks(transform_page=lambda p: p.filter("url <> '/4'"), after_index=lambda s: seen.append(s.status))
+    assert index.run(source, custom=records, hooks=hooks).status == {"new": 5} and seen == [{"new": 5}]
+    assert [(r.url, r.tags) for r in index.read().filter("custom").collect()] == [("/c/1", ["c", "t"])]
+    # None says nothing of custom pages
+    assert index.run(source, hooks=hooks).deleted == 0 and index.read().filter("custom").count() == 1
+    # an empty record is a warning and no deletion
+    blank = spark.createDataFrame([("/c/1", "own", " ", None, None)], schema)
+    assert not index.run(source, custom=blank, hooks=hooks).gate.eligible and index.read().filter("custom").count() == 1
+    assert index.run(source, custom=records.limit(0), hooks=hooks).deleted == 1 and index.read().filter("custom").isEmpty()
+
+
+def test_fetch_keeps_scopes_apart(spark):
+    pages = spark.createDataFrame([("/a",), ("/b",)], "url string")
+    asked = spark.createDataFrame([("ss:1:p:main:page:%2Fa",), ("ss:1:p:other:page:%2Fb",), (None,)], "id string")
+    assert [r.url for r in retrieval.fetch(pages, asked, "p", "main").collect()] == ["/a"]
+
+
+def test_remote_branches():
+    assert diff.remote_branches("  'origin/main'\norigin\n origin/HEAD\nup/feat/x\n", ["origin", "up"]) == {"main", "feat/x"}
+    assert diff.remote_branches("origin\n", ["origin"]) is None and diff.remote_branches("origin/a", []) is None
