@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, released
 
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 REMEMBERED = 300_000  # pieces a worker keeps; all are forgotten beyond that
@@ -231,15 +231,16 @@ def _shared(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(load_file(path) | {"name": path})  # a vocabulary: fixed size
 
 
-def _slices(texts: list[str | None], most: int = 4 << 20) -> Iterator[list[str]]:
-    """The texts in runs of about `most` characters."""
+def _slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in runs of about `most` characters, read from Arrow as they are needed."""
     run, size = [], 0
-    for text in texts:
-        run.append(text or "")
-        size += len(run[-1])
-        if size >= most:
-            yield run
-            run, size = [], 0
+    for i in range(0, len(texts), 64):
+        for text in texts.slice(i, 64).to_pylist():
+            run.append(text or "")
+            size += len(run[-1])
+            if size >= most:
+                yield run
+                run, size = [], 0
     if run:
         yield run
 
@@ -250,8 +251,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for batch, (texts,) in arrow_rows(batches, "text"):
-            ids = [x for run in _slices(texts) for x in codec.encode_batch(run)]
+        for batch in released(batches):
+            ids = [x for run in _slices(batch.column("text")) for x in codec.encode_batch(run)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary")
@@ -275,9 +276,9 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for batch, (texts,) in arrow_rows(batches, "text"):
+        for batch in released(batches):
             n, a, b = [], [], []
-            for run in _slices(texts):
+            for run in _slices(batch.column("text")):
                 for ids in codec.encode_batch(run):
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,7 +43,17 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task. After the last one, free memory goes back to the system: workers outlive their tasks, and
+    what an idle one holds is missing from its executor."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def arrow_rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
     """Each Arrow batch with the named columns as Python lists."""
-    for batch in batches:
+    for batch in released(batches):
         yield batch, [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, text_or_empty, written
+from .common import arrow_rows, released, text_or_empty, written
 from .wordhash import BASES, Powers, Words, chunks, mix
 
 SHINGLE = 5
@@ -268,7 +268,7 @@ def block_links(placed: DataFrame, texts: DataFrame, weights: np.ndarray, simila
             found = joining_links(group, rows.column("side").to_numpy() == 0, root, [t.encode() for t in rows.column("text").to_pylist()], shingler, shared.value, similarity)
             return pa.RecordBatch.from_pydict({"a": pa.array([node[i] for i, _ in found], pa.binary()), "b": pa.array([node[j] for _, j in found], pa.binary())})
 
-        for batch in batches:
+        for batch in released(batches):
             for i in range(0, batch.num_rows, 256):
                 piece = batch.slice(i, 256)
                 held.append(piece)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, text_or_empty
+from .common import arrow_rows, released, text_or_empty
 
 GOOD, BAD, NONE = 1, 0, 2
 LABELLERS = 12
@@ -231,7 +231,7 @@ def keep_good(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> Da
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, shapes = shared.value, _Shapes()
-        for batch in batches:
+        for batch in released(batches):
             good = []
             for t in batch.column(place).to_pylist():
                 m = measures(t or "")
