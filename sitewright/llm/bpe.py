@@ -34,6 +34,7 @@ from .common import arrow_rows, released
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 REMEMBERED = 300_000  # pieces a worker keeps; all are forgotten beyond that
 SHIFT = 20
+RUN_CHARS = 4 << 20
 
 
 def byte_letters() -> list[str]:
@@ -231,7 +232,7 @@ def _shared(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(load_file(path) | {"name": path})  # a vocabulary: fixed size
 
 
-def _slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
+def _slices(texts: pa.Array, most: int) -> Iterator[list[str]]:
     """The texts in runs of about `most` characters, read from Arrow as they are needed."""
     run, size = [], 0
     for i in range(0, len(texts), 64):
@@ -252,7 +253,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in released(batches):
-            ids = [x for run in _slices(batch.column("text")) for x in codec.encode_batch(run)]
+            ids = [x for run in _slices(batch.column("text"), RUN_CHARS) for x in codec.encode_batch(run)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary")
@@ -270,15 +271,16 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
 
 
-def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 in one pass over the texts."""
+def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", run_chars: int = RUN_CHARS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 in one pass over the texts, about run_chars characters at a time:
+    longer runs take less time and more memory, and give the same rows."""
     shared = _shared(docs, path)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in released(batches):
             n, a, b = [], [], []
-            for run in _slices(batch.column("text")):
+            for run in _slices(batch.column("text"), run_chars):
                 for ids in codec.encode_batch(run):
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
