@@ -35,7 +35,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(docs, tokenizer_path())
+    return bpe.round_trip_digests(docs, tokenizer_path(), run_chars=1 << 20)  # short runs: earlier stages have grown the executors
 
 
 STAGES: list[tuple[str, Stage]] = [
