@@ -5,8 +5,11 @@ goes. Windows of five template words are hashed and joined with those of the ben
 or names were changed still meets its template. A window counts if at least three of its words are not placeholders.
 
 A document is a candidate for an item if it holds at least `similarity` of the item's windows. For candidates the
-slots are then read: where the matched windows put placeholders, each value of the item must have become one value
-throughout the document. A pair is reported if at least `similarity` of the item's slot values are consistent.
+slots are then read: where the matched windows put placeholders, each value of the item must have become one value.
+That is judged over the whole document, and for each occurrence in it: the matched windows with one shift between
+document and item, or with shifts that differ by less than half the item's length. A pair is reported if at least
+`similarity` of the item's slot values are consistent in the whole document, or in one occurrence that by itself
+holds at least `similarity` of the item's windows. The figures are those of the first of these that holds.
 
 The benchmark's windows are broadcast if they are counted to be few enough, else joined by a shuffle. Candidates are
 written down and joined back by Spark's own choice. Matches are summed per document and item before they move.
@@ -75,18 +78,21 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.withColumn("n", F.count("*").over(Window.partitionBy("item_id")))
 
 
+def _small(items: DataFrame) -> bool:
+    return items.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+
 def candidates(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     """doc_id, text_hash, item_id, n, hits for documents that hold enough of an item's windows."""
     ws = each_window(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), template(F.col("text")).alias("t")), ["doc_id", "text_hash"], "t")
-    small = items.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    found = ws.join(F.broadcast(items) if small else items, "w")
+    found = ws.join(F.broadcast(items) if _small(items) else items, "w")
     once = found.groupBy("doc_id", "text_hash", "item_id", "n", "w").agg(F.lit(1).alias("one"))
     hits = once.groupBy("doc_id", "text_hash", "item_id", "n").agg(F.count("*").alias("hits"))
     return hits.filter(F.col("hits") >= F.col("n") * similarity)
 
 
-def _slot_rows(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """keys, w, and the slot values of each window that has any: struct(kind, place in the window, value)."""
+def _placed_rows(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """keys, length (words of the text), pos, w, and the slot values of each window: struct(kind, place in the window, value)."""
     split = lambda c: F.filter(F.split(c, "\\s+"), lambda w: w != "")
     base = df.select(*keys, split(template(text)).alias("t"), split(valued(text)).alias("v"))
     base = base.filter(F.size("t") == F.size("v"))
@@ -96,8 +102,15 @@ def _slot_rows(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
         F.xxhash64(*[F.xxhash64(F.get(t, i + k)) for k in range(WORDS)]).alias("w"),
         F.filter(F.array(*[F.struct(F.get(t, i + k).alias("kind"), F.lit(k).alias("place"), F.get(v, i + k).alias("value")) for k in range(WORDS)]), lambda x: is_slot(x["kind"])).alias("slots"),
     )
-    rows = base.select(*keys, F.explode(F.transform(at, one)).alias("x")).select(*keys, "x.w", "x.slots")
-    return rows.filter((F.size("slots") > 0) & (F.size("slots") <= WORDS - LEAST_WORDS))
+    rows = base.select(*keys, F.size("t").alias("length"), F.posexplode(F.transform(at, one)).alias("pos", "x")).select(*keys, "length", "pos", "x.w", "x.slots")
+    return rows.filter(F.size("slots") <= WORDS - LEAST_WORDS)
+
+
+def _occurrences(shift: Column, length: Column) -> Column:
+    """Where a matched window counts: the document, its exact shift, and two staggered ranges of half an item's length."""
+    half = F.greatest(F.lit(2), F.floor(length / 2))
+    places = [F.lit(0), shift, F.floor(shift / half), F.floor((shift + half / 2) / half)]
+    return F.array(*[F.struct(F.lit(k).alias("level"), x.cast("long").alias("place")) for k, x in enumerate(places)])
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -108,16 +121,24 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
     keys = pairs.select("doc_id", "text_hash").distinct()
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
     suspects = hashed.join(keys, hashed.doc_id.eqNullSafe(keys.doc_id) & (hashed.text_hash == keys.text_hash), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    doc_slots = _slot_rows(suspects, ["doc_id", "text_hash"], F.col("text")).withColumnRenamed("slots", "doc_slots")
-    item_slots = _slot_rows(benchmark.select(F.col(item_col).alias("item_id"), text_or_empty(item_text_col).alias("text")), ["item_id"], F.col("text")).withColumnRenamed("slots", "item_slots").dropDuplicates()
-    a, b, p = doc_slots.alias("a"), item_slots.alias("b"), pairs.alias("p")
+    asked = items.select("w").distinct()
+    doc_rows = _placed_rows(suspects, ["doc_id", "text_hash"], F.col("text")).join(F.broadcast(asked) if _small(items) else asked, "w", "left_semi")
+    item_rows = _placed_rows(benchmark.select(F.col(item_col).alias("item_id"), text_or_empty(item_text_col).alias("text")), ["item_id"], F.col("text")).dropDuplicates()
+    a, b, p = doc_rows.alias("a"), item_rows.alias("b"), pairs.alias("p")
     met = p.join(b, F.col("p.item_id").eqNullSafe(F.col("b.item_id"))).join(a, F.col("a.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("a.text_hash") == F.col("p.text_hash")) & (F.col("a.w") == F.col("b.w")))
-    values = met.select("p.doc_id", "p.text_hash", "p.item_id", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("z"))
-    became = values.groupBy("doc_id", "text_hash", "item_id", F.col("z.item_slots.kind").alias("kind"), F.col("z.item_slots.value").alias("value")).agg(F.count_distinct("z.doc_slots.value").alias("ways"))
-    slots = became.groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("n_slots"), F.sum((F.col("ways") == 1).cast("long")).alias("n_consistent")).alias("s")
-    joined = p.join(slots, F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("p.text_hash") == F.col("s.text_hash")) & F.col("p.item_id").eqNullSafe(F.col("s.item_id")), "left")
-    out = joined.select("p.doc_id", "p.text_hash", "p.item_id", F.col("n").cast("long").alias("n_windows"), F.col("hits").alias("n_hit"), (F.col("hits") / F.col("n")).alias("coverage"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_consistent", F.lit(0)).alias("n_consistent"))
-    return out.filter(F.col("n_consistent") >= F.col("n_slots") * similarity)
+    became = F.transform(F.arrays_zip(F.col("b.slots").alias("x"), F.col("a.slots").alias("y")), lambda z: F.struct(z["x"]["kind"].alias("kind"), z["x"]["value"].alias("value"), z["y"]["value"].alias("now")))
+    placed = met.select("p.doc_id", "p.text_hash", "p.item_id", "p.n", F.col("p.hits").alias("all_hits"), "a.w", became.alias("became"), F.explode(_occurrences(F.col("a.pos") - F.col("b.pos"), F.col("b.length"))).alias("o"))
+    each = placed.select("doc_id", "text_hash", "item_id", "n", "all_hits", "w", "o.level", "o.place", F.explode_outer("became").alias("z"))
+    seen = each.groupBy("doc_id", "text_hash", "item_id", "n", "all_hits", "level", "place").agg(F.count_distinct("w").alias("hits"), F.collect_set("z").alias("ways"))
+    values = seen.withColumn("slots", F.array_distinct(F.transform("ways", lambda z: F.struct(z["kind"].alias("kind"), z["value"].alias("value")))))
+    steady = F.filter("slots", lambda x: F.size(F.filter("ways", lambda z: (z["kind"] == x["kind"]) & (z["value"] == x["value"]))) == 1)
+    counted = values.select("doc_id", "text_hash", "item_id", "n", "level", "place", F.when(F.col("level") == 0, F.col("all_hits")).otherwise(F.col("hits")).alias("hits"), F.size("slots").cast("long").alias("n_slots"), F.size(steady).cast("long").alias("n_consistent"))
+    holds = (F.col("hits") >= F.col("n") * similarity) & (F.col("n_consistent") >= F.col("n_slots") * similarity)
+    judged = counted.groupBy("doc_id", "text_hash", "item_id").agg(F.min(F.when(holds, F.struct("level", "place", "hits", "n_slots", "n_consistent"))).alias("best")).alias("s")
+    joined = p.join(judged, F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("p.text_hash") == F.col("s.text_hash")) & F.col("p.item_id").eqNullSafe(F.col("s.item_id")), "left")
+    hits = F.coalesce("s.best.hits", "p.hits")
+    out = joined.filter(F.col("s.text_hash").isNull() | F.col("s.best").isNotNull())  # without rows to judge, the windows decide
+    return out.select("p.doc_id", "p.text_hash", "p.item_id", F.col("p.n").cast("long").alias("n_windows"), hits.alias("n_hit"), (hits / F.col("p.n")).alias("coverage"), F.coalesce("s.best.n_slots", F.lit(0)).alias("n_slots"), F.coalesce("s.best.n_consistent", F.lit(0)).alias("n_consistent"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -164,6 +164,20 @@ def test_decontaminate(spark, hard, empty):
     assert decontaminate.find_contaminated(empty, bench).count() == 0 and decontaminate.find_contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_judges_each_occurrence(spark):
+    item = "If 12 workers dig a trench of 30 meters in a week how many workers does Anna need for 90 meters"
+    changed = item.replace("12", "7").replace("30", "55").replace("Anna", "Bert")
+    docs = [(1, f"so {item} and then {changed}"), (2, f"so {changed} " + "and so on " * 3000 + f"how many workers does Carl need for 4 meters {item}"), (3, item.replace("of 30", "of about 30")), (4, item.replace("trench", "ditch").replace("week", "day").replace("need", "want") + " " + changed[:60])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.find_contaminated(frame, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} >= {1, 2} and 4 not in {r.doc_id for r in got}
+    twice = "Sam has 3 red apples and Sam has 3 green apples while Eve has 8 red apples and 9 green ones"
+    inconsistent = "Sam has 5 red apples and Ann has 6 green apples while Bob has 7 red apples and 4 green ones"
+    frame = spark.createDataFrame([(1, "so " + twice + ". Again: " + inconsistent), (2, "so " + inconsistent)], "doc_id long, text string")
+    got = decontaminate.find_contaminated(frame, spark.createDataFrame([(1, "so " + twice)], "item_id long, text string")).collect()
+    assert [r.doc_id for r in got] == [1]
+
+
 @pytest.mark.parametrize("window", [35, 9])
 def test_substring(spark, hard, empty, window):
     rng = random.Random(7)
