@@ -4,7 +4,12 @@ Text is brought to a template: numbers, names and units become typed placeholder
 goes. Windows of five template words are hashed and joined with those of the benchmark, so a question whose numbers
 or names were changed still meets its template. A window counts if at least three of its words are not placeholders.
 
-A document is a candidate for an item if it holds at least `similarity` of the item's windows. For candidates the
+A capitalised word that begins a sentence may be a name or not, so it is read both ways: documents give the windows of
+both readings, and an item has two forms, its first words as words or as names. The second form is used if at least
+half as many of its windows count. Items of which no window counts (short ones, or dense in numbers and names) are met
+literally: by windows of five words as they stand, or by all their words if they have fewer.
+
+A document is a candidate for an item if it holds at least `similarity` of the windows of one form. For candidates the
 slots are then read: where the matched windows put placeholders, each value of the item must have become one value.
 That is judged over the whole document, and for each occurrence in it: the matched windows with one shift between
 document and item, or with shifts that differ by less than half the item's length. A pair is reported if at least
@@ -14,9 +19,9 @@ holds at least `similarity` of the item's windows. The figures are those of the
 The benchmark's windows are broadcast if they are counted to be few enough, else joined by a shuffle. Candidates are
 written down and joined back by Spark's own choice. Matches are summed per document and item before they move.
 
-Defined results: null texts are empty; items with no window that counts match nothing; items and documents may repeat
-(each row of either counts by its id and text); empty tables give no rows; other columns are left alone. Names are
-words with one capital, the first, that do not begin a sentence; words all in capitals are words.
+Defined results: null texts are empty; items without words match nothing; items and documents may repeat (each row of
+either counts by its id and text); empty tables give no rows; other columns are left alone. Names are words with one
+capital, the first; words all in capitals are words. Pairs met literally have no slots.
 """
 
 from __future__ import annotations
@@ -30,17 +35,31 @@ NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 #: Units of measure, as words after a number.
 UNITS = "km|kg|mg|cm|mm|ml|kmh|mph|lbs|ft|hz|khz|mhz|ghz|kb|mb|gb|tb|percent|meters|metres|miles|hours|minutes|seconds|days|weeks|months|years|dollars|euros|pounds|grams|liters|litres|degrees"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~„“”‘’«»…¿¡–—"
+#: Capitalised words inside a sentence, and anywhere.
+NAMES = "(?<=[^.!?\\s]\\s)\\p{Lu}\\p{Ll}+(?!\\p{L})"
+ALL_NAMES = "(?<!\\p{L})\\p{Lu}\\p{Ll}+(?!\\p{L})"
 WORDS = 5
 LEAST_WORDS = 3
 MOST_BROADCAST = 4_000_000  # windows: 16 bytes each
 
 
-def template(text: Column) -> Column:
-    """The text with placeholders, lowered and without punctuation."""
+def _numbered(text: Column) -> Column:
     text = F.regexp_replace(text, f"(?i)[0-9]+(?:[.,:/][0-9]+)*\\s?(?:{UNITS})\\b", f" {NUMBER} {UNIT} ")
-    text = F.regexp_replace(text, "[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
-    text = F.regexp_replace(text, "(?<=[^.!?\\s]\\s)\\p{Lu}\\p{Ll}+(?!\\p{L})", NAME)
-    return F.translate(F.lower(text), PUNCTUATION, "")
+    return F.regexp_replace(text, "[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
+
+
+def _named(text: Column, names: str) -> Column:
+    return F.translate(F.lower(F.regexp_replace(text, names, NAME)), PUNCTUATION, "")
+
+
+def _split(text: Column) -> Column:
+    return F.filter(F.split(text, "\\s+"), lambda w: w != "")
+
+
+def readings(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """keys, t and u: the template words, with capitalised words that begin a sentence as words (t) and as names (u)."""
+    base = df.select(*keys, _numbered(text).alias("base"))
+    return base.select(*keys, _split(_named(F.col("base"), NAMES)).alias("t"), _split(_named(F.col("base"), ALL_NAMES)).alias("u"))
 
 
 def valued(text: Column) -> Column:
@@ -54,28 +73,86 @@ def is_slot(word: Column) -> Column:
     return word.rlike(f"[{NUMBER}{NAME}{UNIT}]")
 
 
-def each_window(df: DataFrame, keys: list[str], template_col: str) -> DataFrame:
-    """keys and w, a row for each window: the hash of its words' hashes, null where too few words are words.
+def _starts(words: Column) -> Column:
+    return F.when(F.size(words) >= WORDS, F.sequence(F.lit(0), F.size(words) - WORDS)).otherwise(F.array().cast("array<int>"))
+
+
+def _other_starts(t: Column, u: Column) -> Column:
+    """Where a window of u is not that of t."""
+    differ = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.get(t, i) != F.get(u, i))
+    around = F.flatten(F.transform(differ, lambda p: F.sequence(F.greatest(F.lit(0), p - WORDS + 1), F.least(p, F.size(t) - WORDS))))
+    return F.when((F.size(t) >= WORDS) & (t != u), F.array_distinct(around)).otherwise(F.array().cast("array<int>"))
+
+
+def _window_hash(h: Column, i: Column) -> Column:
+    return F.xxhash64(*[F.get(h, i + k) for k in range(WORDS)])
+
+
+def _counted(h: Column, s: Column, at: Column) -> Column:
+    """The windows' hashes, of the hashes of their words; null where too few words are words (s: which are slots, null if none is)."""
+    slots = lambda i: sum((F.get(s, i + k) for k in range(1, WORDS)), F.get(s, i))
+    plain = F.transform(at, lambda i: _window_hash(h, i))
+    return F.when(s.isNull(), plain).otherwise(F.transform(at, lambda i: F.when(slots(i) <= WORDS - LEAST_WORDS, _window_hash(h, i))))
+
+
+def _hashed(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """keys, and for each reading its words' hashes (h, g) and slots (s, r)."""
+    words = readings(df, keys, text)
+    hashes = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    slots = lambda c: F.when(is_slot(F.array_join(c, " ")), F.transform(c, lambda w: is_slot(w).cast("int")))
+    return words.select(*keys, hashes("t").alias("h"), hashes("u").alias("g"), slots(F.col("t")).alias("s"), slots(F.col("u")).alias("r"))
+
+
+def each_window(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """keys and w, a row for each window of either reading; null where too few words are words.
 
     What is exploded must not be a bare column: for that Spark infers a filter and pushes it down with its whole
     expression, which would hash all words again for each window.
     """
-    words = df.select(*keys, is_slot(F.col(template_col)).alias("any_slot"), F.filter(F.split(template_col, "\\s+"), lambda w: w != "").alias("t"))
-    hashed = words.select(*keys, F.transform("t", lambda w: F.xxhash64(w)).alias("h"), F.when(F.col("any_slot"), F.transform("t", lambda w: is_slot(w).cast("int"))).alias("s"))
-    h, s = F.col("h"), F.col("s")
-    one = lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WORDS)])
-    slots = lambda i: sum((F.get(s, i + k) for k in range(1, WORDS)), F.get(s, i))
-    at = F.when(F.size(h) >= WORDS, F.sequence(F.lit(0), F.size(h) - WORDS)).otherwise(F.array().cast("array<int>"))
-    plain = F.transform(at, one)
-    mixed = F.transform(at, lambda i: F.when(slots(i) <= WORDS - LEAST_WORDS, one(i)))
-    return hashed.select(*keys, F.explode(F.when(s.isNull(), plain).otherwise(mixed)).alias("w"))
+    h, g, s, r = (F.col(c) for c in "hgsr")
+    return _hashed(df, keys, text).select(*keys, F.explode(F.concat(_counted(h, s, _starts(h)), _counted(g, r, _other_starts(h, g)))).alias("w"))
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item_id, w (hash) and n (the item's distinct windows)."""
-    items = benchmark.select(F.col(id_col).alias("item_id"), template(text_or_empty(text_col)).alias("t")).dropDuplicates()
-    each = each_window(items, ["item_id"], "t").filter("w IS NOT NULL").distinct()
-    return each.withColumn("n", F.count("*").over(Window.partitionBy("item_id")))
+    """item_id, form (0: first words as words, 1: as names), w (hash) and n (the form's distinct windows)."""
+    items = benchmark.select(F.col(id_col).alias("item_id"), text_or_empty(text_col).alias("text")).dropDuplicates()
+    h, g, s, r = (F.col(c) for c in "hgsr")
+    forms = [_hashed(items, ["item_id"], F.col("text")).select("item_id", F.lit(k).alias("form"), F.explode(_counted(a, b, _starts(a))).alias("w")) for k, (a, b) in enumerate(((h, s), (g, r)))]
+    each = forms[0].unionByName(forms[1]).filter("w IS NOT NULL").distinct()
+    own = Window.partitionBy("item_id")
+    counted = each.withColumn("n", F.count("*").over(Window.partitionBy("item_id", "form"))).withColumn("first", F.max(F.when(F.col("form") == 0, F.col("n"))).over(own))
+    return counted.filter(F.col("n") * 2 >= F.col("first")).drop("first")
+
+
+def literal_words(text: Column) -> Column:
+    """The words in small letters, without punctuation at their ends; signs of arithmetic that stand alone are words."""
+    ends = "\\p{Punct}„“”‘’«»…¿¡–—"
+    bare = lambda w: F.when(w.rlike("^[-+*/=<>^%]$"), w).otherwise(F.regexp_replace(w, f"^[{ends}]+|[{ends}]+$", ""))
+    return F.filter(F.transform(F.split(F.lower(text), "\\s+"), bare), lambda w: w != "")
+
+
+def _literal_windows(words: Column, k: Column | int) -> Column:
+    k = F.lit(k) if isinstance(k, int) else k
+    at = F.when((F.size(words) >= k) & (k > 0), F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(words, i + 1, k))))
+
+
+def literal_pairs(docs: DataFrame, benchmark: DataFrame, similarity: float, item_col: str, item_text_col: str) -> DataFrame | None:
+    """doc_id, text_hash, item_id, n, hits for items of which no window counts; none if there is no such item."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), text_or_empty(item_text_col).alias("text")).dropDuplicates()
+    h, s = F.col("h"), F.col("s")
+    no_window = ~F.exists(_counted(h, s, _starts(h)), lambda w: w.isNotNull())
+    bare = _hashed(items, ["item_id", "text"], F.col("text")).filter(no_window).select("item_id", literal_words(F.col("text")).alias("words"))
+    sized = bare.select("item_id", F.xxhash64("words").alias("item_hash"), F.least(F.size("words"), F.lit(WORDS)).alias("k"), "words").filter("k > 0")
+    each = sized.withColumn("ws", _literal_windows(F.col("words"), F.col("k"))).select("item_id", "item_hash", "k", F.size("ws").alias("n"), F.explode("ws").alias("w")).distinct()
+    asked = written(each, "literal-windows")
+    lengths = sorted(r.k for r in asked.select("k").distinct().collect())  # at most WORDS
+    if not lengths:
+        return None
+    words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), literal_words(F.col("text")).alias("words"))
+    windows = words.select("doc_id", "text_hash", F.explode(F.concat(*[_literal_windows(F.col("words"), k) for k in lengths])).alias("w"))
+    met = windows.join(F.broadcast(asked) if _small(asked) else asked, "w").groupBy("doc_id", "text_hash", "item_id", "item_hash", "n", "w").agg(F.lit(1).alias("one"))
+    return met.groupBy("doc_id", "text_hash", "item_id", "item_hash", "n").agg(F.count("*").alias("hits")).filter(F.col("hits") >= F.col("n") * similarity).drop("item_hash")
 
 
 def _small(items: DataFrame) -> bool:
@@ -83,26 +160,26 @@ def _small(items: DataFrame) -> bool:
 
 
 def candidates(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, text_hash, item_id, n, hits for documents that hold enough of an item's windows."""
-    ws = each_window(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), template(F.col("text")).alias("t")), ["doc_id", "text_hash"], "t")
+    """doc_id, text_hash, item_id, form, n, hits for documents that hold enough of the windows of an item's form."""
+    ws = each_window(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), ["doc_id", "text_hash"], F.col("text"))
     found = ws.join(F.broadcast(items) if _small(items) else items, "w")
-    once = found.groupBy("doc_id", "text_hash", "item_id", "n", "w").agg(F.lit(1).alias("one"))
-    hits = once.groupBy("doc_id", "text_hash", "item_id", "n").agg(F.count("*").alias("hits"))
+    once = found.groupBy("doc_id", "text_hash", "item_id", "form", "n", "w").agg(F.lit(1).alias("one"))
+    hits = once.groupBy("doc_id", "text_hash", "item_id", "form", "n").agg(F.count("*").alias("hits"))
     return hits.filter(F.col("hits") >= F.col("n") * similarity)
 
 
-def _placed_rows(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """keys, length (words of the text), pos, w, and the slot values of each window: struct(kind, place in the window, value)."""
-    split = lambda c: F.filter(F.split(c, "\\s+"), lambda w: w != "")
-    base = df.select(*keys, split(template(text)).alias("t"), split(valued(text)).alias("v"))
+def _placed_rows(df: DataFrame, keys: list[str], every: bool) -> DataFrame:
+    """keys, form, length (words of the text), pos, w, and the slot values of each window: struct(kind, place in the window, value).
+    df: keys and text. every: all windows of the second reading, else those that the first does not have."""
+    base = readings(df.select(*keys, "text", _split(valued(F.col("text"))).alias("v")), [*keys, "v"], F.col("text"))
     base = base.filter(F.size("t") == F.size("v"))
-    at = F.when(F.size("t") >= WORDS, F.sequence(F.lit(0), F.size("t") - WORDS)).otherwise(F.array().cast("array<int>"))
-    t, v = F.col("t"), F.col("v")
-    one = lambda i: F.struct(
-        F.xxhash64(*[F.xxhash64(F.get(t, i + k)) for k in range(WORDS)]).alias("w"),
-        F.filter(F.array(*[F.struct(F.get(t, i + k).alias("kind"), F.lit(k).alias("place"), F.get(v, i + k).alias("value")) for k in range(WORDS)]), lambda x: is_slot(x["kind"])).alias("slots"),
-    )
-    rows = base.select(*keys, F.size("t").alias("length"), F.posexplode(F.transform(at, one)).alias("pos", "x")).select(*keys, "length", "pos", "x.w", "x.slots")
+    t, u, v = F.col("t"), F.col("u"), F.col("v")
+    one = lambda form, c: lambda i: F.struct(
+        F.lit(form).alias("form"), i.alias("pos"), F.xxhash64(*[F.xxhash64(F.get(c, i + k)) for k in range(WORDS)]).alias("w"),
+        F.filter(F.array(*[F.struct(F.get(c, i + k).alias("kind"), F.lit(k).alias("place"), F.get(v, i + k).alias("value")) for k in range(WORDS)]), lambda x: is_slot(x["kind"])).alias("slots"),
+    )
+    windows = F.concat(F.transform(_starts(t), one(0, t)), F.transform(_starts(u) if every else _other_starts(t, u), one(1, u)))
+    rows = base.select(*keys, F.size("t").alias("length"), F.explode(windows).alias("x")).select(*keys, "length", "x.form", "x.pos", "x.w", "x.slots")
     return rows.filter(F.size("slots") <= WORDS - LEAST_WORDS)
 
 
@@ -122,23 +199,28 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
     suspects = hashed.join(keys, hashed.doc_id.eqNullSafe(keys.doc_id) & (hashed.text_hash == keys.text_hash), "left_semi").dropDuplicates(["doc_id", "text_hash"])
     asked = items.select("w").distinct()
-    doc_rows = _placed_rows(suspects, ["doc_id", "text_hash"], F.col("text")).join(F.broadcast(asked) if _small(items) else asked, "w", "left_semi")
-    item_rows = _placed_rows(benchmark.select(F.col(item_col).alias("item_id"), text_or_empty(item_text_col).alias("text")), ["item_id"], F.col("text")).dropDuplicates()
+    doc_rows = _placed_rows(suspects, ["doc_id", "text_hash"], every=False).join(F.broadcast(asked) if _small(items) else asked, "w", "left_semi")
+    item_rows = _placed_rows(benchmark.select(F.col(item_col).alias("item_id"), text_or_empty(item_text_col).alias("text")), ["item_id"], every=True).dropDuplicates()
     a, b, p = doc_rows.alias("a"), item_rows.alias("b"), pairs.alias("p")
-    met = p.join(b, F.col("p.item_id").eqNullSafe(F.col("b.item_id"))).join(a, F.col("a.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("a.text_hash") == F.col("p.text_hash")) & (F.col("a.w") == F.col("b.w")))
+    met = p.join(b, F.col("p.item_id").eqNullSafe(F.col("b.item_id")) & (F.col("p.form") == F.col("b.form"))).join(a, F.col("a.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("a.text_hash") == F.col("p.text_hash")) & (F.col("a.w") == F.col("b.w")))
     became = F.transform(F.arrays_zip(F.col("b.slots").alias("x"), F.col("a.slots").alias("y")), lambda z: F.struct(z["x"]["kind"].alias("kind"), z["x"]["value"].alias("value"), z["y"]["value"].alias("now")))
-    placed = met.select("p.doc_id", "p.text_hash", "p.item_id", "p.n", F.col("p.hits").alias("all_hits"), "a.w", became.alias("became"), F.explode(_occurrences(F.col("a.pos") - F.col("b.pos"), F.col("b.length"))).alias("o"))
-    each = placed.select("doc_id", "text_hash", "item_id", "n", "all_hits", "w", "o.level", "o.place", F.explode_outer("became").alias("z"))
-    seen = each.groupBy("doc_id", "text_hash", "item_id", "n", "all_hits", "level", "place").agg(F.count_distinct("w").alias("hits"), F.collect_set("z").alias("ways"))
+    pair = ["doc_id", "text_hash", "item_id"]
+    placed = met.select("p.doc_id", "p.text_hash", "p.item_id", "p.form", "p.n", F.col("p.hits").alias("all_hits"), "a.w", became.alias("became"), F.explode(_occurrences(F.col("a.pos") - F.col("b.pos"), F.col("b.length"))).alias("o"))
+    each = placed.select(*pair, "form", "n", "all_hits", "w", "o.level", "o.place", F.explode_outer("became").alias("z"))
+    seen = each.groupBy(*pair, "form", "n", "all_hits", "level", "place").agg(F.count_distinct("w").alias("hits"), F.collect_set("z").alias("ways"))
     values = seen.withColumn("slots", F.array_distinct(F.transform("ways", lambda z: F.struct(z["kind"].alias("kind"), z["value"].alias("value")))))
     steady = F.filter("slots", lambda x: F.size(F.filter("ways", lambda z: (z["kind"] == x["kind"]) & (z["value"] == x["value"]))) == 1)
-    counted = values.select("doc_id", "text_hash", "item_id", "n", "level", "place", F.when(F.col("level") == 0, F.col("all_hits")).otherwise(F.col("hits")).alias("hits"), F.size("slots").cast("long").alias("n_slots"), F.size(steady).cast("long").alias("n_consistent"))
+    counted = values.select(*pair, "form", "n", "level", "place", F.when(F.col("level") == 0, F.col("all_hits")).otherwise(F.col("hits")).alias("hits"), F.size("slots").cast("long").alias("n_slots"), F.size(steady).cast("long").alias("n_consistent"))
     holds = (F.col("hits") >= F.col("n") * similarity) & (F.col("n_consistent") >= F.col("n_slots") * similarity)
-    judged = counted.groupBy("doc_id", "text_hash", "item_id").agg(F.min(F.when(holds, F.struct("level", "place", "hits", "n_slots", "n_consistent"))).alias("best")).alias("s")
-    joined = p.join(judged, F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("p.text_hash") == F.col("s.text_hash")) & F.col("p.item_id").eqNullSafe(F.col("s.item_id")), "left")
-    hits = F.coalesce("s.best.hits", "p.hits")
-    out = joined.filter(F.col("s.text_hash").isNull() | F.col("s.best").isNotNull())  # without rows to judge, the windows decide
-    return out.select("p.doc_id", "p.text_hash", "p.item_id", F.col("p.n").cast("long").alias("n_windows"), hits.alias("n_hit"), (hits / F.col("p.n")).alias("coverage"), F.coalesce("s.best.n_slots", F.lit(0)).alias("n_slots"), F.coalesce("s.best.n_consistent", F.lit(0)).alias("n_consistent"))
+    judged = counted.groupBy(*pair, "form").agg(F.min(F.when(holds, F.struct("level", "place", "hits", "n_slots", "n_consistent"))).alias("best")).alias("s")
+    joined = p.join(judged, F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("p.text_hash") == F.col("s.text_hash")) & F.col("p.item_id").eqNullSafe(F.col("s.item_id")) & (F.col("p.form") == F.col("s.form")), "left")
+    kept = joined.filter(F.col("s.text_hash").isNull() | F.col("s.best").isNotNull())  # without rows to judge, the windows decide
+    found = kept.select("p.doc_id", "p.text_hash", "p.item_id", "p.form", F.col("p.n").cast("long").alias("n"), F.coalesce("s.best.hits", "p.hits").alias("hits"), F.coalesce("s.best.n_slots", F.lit(0)).alias("n_slots"), F.coalesce("s.best.n_consistent", F.lit(0)).alias("n_consistent"))
+    literal = literal_pairs(docs, benchmark, similarity, item_col, item_text_col)
+    if literal is not None:
+        found = found.unionByName(literal.select(*pair, F.lit(2).alias("form"), F.col("n").cast("long").alias("n"), "hits", F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_consistent")))
+    first = found.groupBy(*pair).agg(F.min(F.struct("form", "n", "hits", "n_slots", "n_consistent")).alias("x"))
+    return first.select(*pair, F.col("x.n").alias("n_windows"), F.col("x.hits").alias("n_hit"), (F.col("x.hits") / F.col("x.n")).alias("coverage"), "x.n_slots", "x.n_consistent")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -178,6 +178,16 @@ def test_decontaminate_judges_each_occurrence(spark):
     assert [r.doc_id for r in got] == [1]
 
 
+def test_decontaminate_short_dense_and_named_items(spark):
+    ann = "Ann bakes 12 small loaves of dark bread for the village market today. Ann sells 4 of the loaves to an old baker. Ann eats 2 of them at home with some butter. How many loaves are left on the table at the end"
+    items = [(1, "Compute 3 + 4 * 12 - 7 / 2 and 8 * 9."), (2, "Who wrote Don Quixote?"), (3, ann), (4, "..."), (5, "Add 1.5 to 2")]
+    docs = [(1, "Now: compute 3 + 4 * 12 - 7 / 2 and 8 * 9. Good."), (2, '"Who wrote Don Quixote?" they asked'), (3, "Task. " + ann.replace("Ann", "Leo").replace("12", "15")), (4, "Compute 5 + 6 * 11 - 2 / 3 and 1 * 7."), (5, "who wrote the book of Don Quixote"), (6, "add 15 to 2 ... or")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontaminate.find_contaminated(frame, bench).collect()]
+    assert sorted(got) == [(1, 1), (2, 2), (3, 3)]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(frame, bench).collect()) == [4, 5, 6]
+
+
 @pytest.mark.parametrize("window", [35, 9])
 def test_substring(spark, hard, empty, window):
     rng = random.Random(7)
