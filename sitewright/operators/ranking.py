@@ -89,3 +89,27 @@ def with_sections(ranked: DataFrame, sections: DataFrame, key: str, score: str,
     order = Window.partitionBy(key).orderBy(F.desc(score), tie)
     near = near.withColumn("section_rank", F.row_number().over(order)).filter(F.col("section_rank") <= most)
     return ranked.join(near, key, "left")
+
+
+def numbered(rows: DataFrame, key: Column, name: str = "nth", rows_per_part: int = 1000, most_parts: int = 512) -> DataFrame:
+    """Adds a number from 1 in the order of key, which must tell all rows apart (ties are numbered in any order).
+
+    Rows are numbered in ranges of the key, each from the count of those before it, so no task holds all rows. The
+    bounds come from a hashed sample of some hundred keys a range, the same whenever it is drawn.
+    """
+    keyed = rows.withColumn("_key", key)
+    n = keyed.count()
+    parts = min(most_parts, n // rows_per_part + 1)
+    each = max(1, n // (parts * 100))
+    bounds = []
+    if parts > 1:
+        drawn = [r[0] for r in keyed.filter(F.pmod(F.xxhash64("_key"), F.lit(each)) == 0).select("_key").orderBy("_key").collect()]  # about 100 a range
+        bounds = [drawn[len(drawn) * k // parts] for k in range(1, parts)] if drawn else []
+    fields = keyed.schema["_key"].dataType
+    literal = lambda b: F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, fields.fields, strict=True)])
+    part = F.size(F.filter(F.array(*map(literal, bounds)), lambda b: b <= F.col("_key"))) if bounds else F.lit(0)
+    placed = keyed.withColumn("_part", part)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over at most most_parts rows
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
+    return placed.withColumn("_nth", nth).join(F.broadcast(counts), "_part").withColumn(name, (F.col("_before") + F.col("_nth")).cast("long")).drop("_key", "_part", "_nth", "_before")

@@ -88,7 +88,7 @@ QUERIES = {
     "page_markdown": lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("markdown")),
     "list_pages": lambda s, d: diff.dedupe_first(site_pages(s, d).select("page_id", "url"), "url", "page_id").filter("url > '/en/5'").orderBy("url").limit(50),
     "limit_max_pages": lambda s, d: site_pages(s, d).select("url", "page_id").orderBy("url", "page_id").limit(100),
-    "llms_txt_lines": lambda s, d: _hits(s, d).select(F.concat(F.lit("- ["), "title", F.lit("]("), "url", F.lit(")")).alias("line"), "depth", "incoming_links", "url", "page_id").orderBy("depth", F.desc("incoming_links"), "url", "page_id").limit(500).withColumn("nth", F.row_number().over(Window.orderBy("depth", F.desc("incoming_links"), "url", "page_id"))).select(F.col("nth").cast("long").alias("nth"), "line"),
+    "llms_txt_lines": lambda s, d: R.numbered(_hits(s, d).select(F.concat(F.lit("- ["), "title", F.lit("]("), "url", F.lit(")")).alias("line"), "depth", "incoming_links", "url", "page_id"), F.struct("depth", (-F.col("incoming_links")).alias("links"), "url", "page_id")).select("nth", "line"),
     "prune_scopes": lambda s, d: diff.select_stale_scopes(table(s, d, "events").groupBy("user_id").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("last_indexed_ms")).select(F.concat(F.lit("u"), "user_id").alias("scope_name"), "last_indexed_ms"), ["u1", "u2"], ["u3"], 1_800_000_000_000, 86_400_000).select("scope_name"),
     "boost_rank": lambda s, d: _scored(s, d).select("page_id", "final"),
     "score_breakdown": lambda s, d: _scored(s, d).drop("url"),
