@@ -7,7 +7,8 @@ that may belong to its span, so the work stays in proportion to the text, whatev
 Base kinds are the leftmost spans of the documented patterns, without overlap in their kind; a span whose check fails
 is dropped and takes its characters with it. The anchors add four kinds that the patterns alone do not see: `tel`
 (number after the scheme tel:), `iban` and `ssn` (after their cue, with valid form or check digits), and `login`
-(user and password of a URL). Offsets count code points, ends are exclusive.
+(user and password of a URL). Cues and accounts are read in small and capital letters alike; an account ends at a
+word's end where its check digits hold, whatever words follow: at its country's length, else at the last such end. Offsets count code points, ends are exclusive.
 
 Defined results: a null text is empty and has no spans; ids may be null or repeat; each row is judged by itself;
 an empty table gives no rows; other columns are left alone.
@@ -16,6 +17,7 @@ an empty table gives no rows; other columns are left alone.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -36,11 +38,26 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 DIGITS = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TEL = re.compile(r"[0-9](?:[().-]?[0-9]){6,14}(?![0-9])")
-IBAN = re.compile(r"[\s:#=]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+TEL = re.compile(r"[ \t]{0,3}([0-9](?:[().-]?[0-9]){6,14})(?![0-9])")
+IBAN = re.compile(r"[\s:#=]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})", re.I | re.A)
 SSN = re.compile(r"[\s:#=]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
 LOGIN = re.compile(r"[^\s/@:?#]+:[^\s/@?#]+(?=@)")
-CUES = {"://": "login", "tel:": "tel", "IBAN": "iban", "iban": "iban", "Iban": "iban", "SSN": "ssn", "ssn": "ssn"}
+CUES = {"://": "login", "tel:": "tel", "iban": "iban", "ssn": "ssn"}
+
+
+#: Characters of an account by country.
+LENGTHS = {c: int(n) for c, n in (x.split(":") for x in (
+    "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 ES:24 FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 "
+    "LC:32 LI:21 LT:20 LU:20 LV:21 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SC:31 SE:24 SI:19 SK:24 SM:27 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20"
+).split())}
+
+
+def spellings(cue: str) -> list[str]:
+    """The cue in every mix of small and capital letters."""
+    return ["".join(x) for x in itertools.product(*(sorted({c, c.upper()}) for c in cue))]
+
+
+ANCHORS = {x: kind for cue, kind in CUES.items() for x in spellings(cue)}
 
 
 def luhn(digits: str) -> bool:
@@ -53,7 +70,15 @@ def luhn(digits: str) -> bool:
 
 def iban_ok(text: str) -> bool:
     code = text.replace(" ", "")
-    return len(code) >= 15 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+    return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """The end of a valid account that begins at start, at the end of a word: of its country's length, else the longest."""
+    ends = [at for at in range(end, start + 14, -1) if text[at - 1] != " " and not (at < len(text) and text[at].isascii() and text[at].isalnum())]
+    own = LENGTHS.get(text[start : start + 2].upper())
+    ends.sort(key=lambda at: at - start - text.count(" ", start, at) != own)  # stable: longest first among equals
+    return next((at for at in ends if iban_ok(text[start:at])), None)
 
 
 class Finder:
@@ -61,7 +86,7 @@ class Finder:
 
     def __init__(self) -> None:
         self.anchors = ahocorasick.Automaton()
-        for sign in ("@", "+", *"0123456789", *CUES):
+        for sign in ("@", "+", *"0123456789", *ANCHORS):
             self.anchors.add_word(sign, sign)
         self.anchors.make_automaton()
 
@@ -97,14 +122,14 @@ class Finder:
                     if 8 <= sum(map(str.isdigit, m[0])) <= 15:
                         found["phone"].append(m.span())
             else:
-                self._cue(text, last + 1, CUES[sign], found)
+                self._cue(text, last + 1, ANCHORS[sign], found)
         return found
 
     def _cue(self, text: str, at: int, kind: str, found: dict) -> None:
         if kind == "tel" and (m := TEL.match(text, at)):
-            found["tel"].append(m.span())
-        elif kind == "iban" and (m := IBAN.match(text, at)) and iban_ok(m[1]):
-            found["iban"].append(m.span(1))
+            found["tel"].append(m.span(1))
+        elif kind == "iban" and (m := IBAN.match(text, at)) and (end := iban_end(text, m.start(1), m.end(1))):
+            found["iban"].append((m.start(1), end))
         elif kind == "ssn" and (m := SSN.match(text, at)):
             found["ssn"].append(m.span(1))
         elif kind == "login" and (m := LOGIN.match(text, at)):

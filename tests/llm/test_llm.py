@@ -118,6 +118,18 @@ def test_pii(hard, empty):
     assert pii.redact("IBAN DE89 3704 0044 0532 0130 00 x") == "IBAN [iban] x"
 
 
+def test_pii_accounts_end_where_their_digits_hold():
+    account, other = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    for tail in (" BIC COBADEFF", " 12 2024", " 2024-01-02", " AND MORE", " x", "", ".", " 5 EUR", " ABCD EFGH IJKL MNOP QRST UVWX YZ"):
+        assert pii.redact(f"IBAN {account}{tail}") == f"IBAN [iban]{tail}"
+        assert pii.redact(f"iBAN: {other.lower()}{tail}") == f"iBAN: [iban]{tail}"
+    assert pii.redact("IBAN DE88 3704 0044 0532 0130 00 BIC COBADEFF") == "IBAN DE88 3704 0044 0532 0130 00 BIC COBADEFF"
+    assert pii.redact("IBAN DE89370400440532013000X") == "IBAN DE89370400440532013000X"
+    for cue in ("tel:", "Tel:", "TEL:", "Tel: "):
+        assert pii.redact(f"{cue}030-1234567 x") == f"{cue}[tel] x"
+    assert pii.redact("Ssn 123-45-6789") == "Ssn [ssn]"
+
+
 def test_quality(hard, empty):
     rows = quality.score_documents(hard, quality.fit(hard)).collect()
     assert len(rows) == len(HARD) and all(0 <= r.score <= 1 for r in rows)
