@@ -17,15 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where it is unset, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+    """A folder of this application in the one that spark.checkpoint.dir names. Where that is unset, as in tests, a local
+    session gets a temporary one; a cluster, whose machines would not share it, an error."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not path:
+        path = context._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not path and context.master.startswith("local") and not context.master.startswith("local-cluster"):
         path = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return path.rstrip("/")
+        context.setCheckpointDir(path)
+        path = context._jsc.sc().getCheckpointDir().get()
+    if not path:
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
+    return f"{path.rstrip('/')}/{context.applicationId}"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -39,6 +43,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """As written(), in as many buckets by key as there are shuffle partitions: joins by key leave it where it lies."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", fresh_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
+def removed(spark: SparkSession, df: DataFrame) -> None:
+    """Deletes what written() wrote for df, when nothing that is still to run reads it."""
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if path.startswith(shared_dir(spark)) or f"/{spark.sparkContext.applicationId}/" in path:
+            _delete(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; for when its results are written elsewhere."""
+    _delete(spark, shared_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -1,9 +1,14 @@
-"""Exact duplicates by a tree-merge of digest runs.
+"""Exact duplicates by a tree-merge of sorted digest runs.
 
-Each input partition is one run. Its rows are summed by digest before they move (the map side of the first
-aggregation), runs are merged `fan_in` at a time in rounds, and the last round merges what is left of each digest.
-A digest that holds a third of all rows therefore reaches any task as at most one row a run, never as its rows.
-A run entry carries the length of the normalised text beside its SHA-256, so entries merge only if both agree.
+Each input partition is one run: its rows, sorted by digest, with one entry a digest. Runs are merged in binomial
+rounds: in round k, run r + 2 ** k goes to run r (r a multiple of 2 ** (k + 1)), so ceil(log2(runs)) rounds leave one
+run. An entry is the row that stays so far and the number of rows behind it; merging two sorted runs keeps, of equal
+digests, the better entry and the sum. Every run is dealt over all tasks by digest, so late rounds, with few runs, are
+as parallel as early ones, and a digest that holds a third of all rows reaches any task as one entry a run, never as
+its rows. Each round is written down: a lost executor costs the rest of its round.
+
+Entries are merged only if both the SHA-256 of the normalised text and its length agree; the row that stays is chosen
+by a total order (most code points, smallest id, row number), so every order of merging gives the same rows.
 
 Defined results: a null text is the empty text; a null id sorts after all ids; rows that agree in everything keep
 one of them; an empty table gives an empty result; other columns of any name are left alone. Whitespace here is
@@ -12,8 +17,6 @@ U+0020 and U+0009 to U+000D.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,25 +42,33 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def merge_runs(runs: DataFrame, fan_in_bits: int = 5, rounds: int = 2) -> DataFrame:
-    """digest, n_bytes -> best (the entry that stays) and size. Run numbers lose `fan_in_bits` bits in each round."""
+def sorted_runs(rows: DataFrame) -> DataFrame:
+    """run, digest, n_bytes, best (the entry that stays), size: one entry a digest and run."""
     entry = F.struct((-F.col("n_points")).alias("neg_points"), F.col("id").isNull().alias("no_id"), F.col("id"), F.col("row"))
-    level = runs.select("digest", "n_bytes", "run", entry.alias("best"), F.lit(1).cast("long").alias("size"))
+    return rows.select("run", "digest", "n_bytes", entry.alias("best"), F.lit(1).cast("long").alias("size"))
+
+
+def merged(runs: DataFrame) -> DataFrame:
+    """Entries of one run and digest become one. Grouping sorts by run and digest on both sides of the exchange, so what
+    a task reads and writes are sorted runs, and merging them is one pass."""
+    return runs.groupBy("run", "digest", "n_bytes").agg(F.min("best").alias("best"), F.sum("size").alias("size"))
 
-    def merge(level: DataFrame, k: int) -> DataFrame:
-        keys = ["digest", "n_bytes"]
-        if k < rounds:
-            level = level.withColumn("run", F.shiftright("run", fan_in_bits))
-            keys.append("run")
-        return level.groupBy(*keys).agg(F.min("best").alias("best"), F.sum("size").alias("size"))
 
-    return reduce(merge, range(1, rounds + 1), level)
+def merge_runs(rows: DataFrame) -> DataFrame:
+    """digest, n_bytes -> best and size, over all runs."""
+    last = rows.agg(F.max("run")).first()[0]
+    runs, step = sorted_runs(rows), 1
+    while last is not None and step <= last:
+        sent = F.col("run").bitwiseAND(F.lit(step)) != 0
+        runs = written(merged(runs.withColumn("run", F.when(sent, F.col("run") - step).otherwise(F.col("run")))), f"runs-{step}")
+        step *= 2
+    return written(merged(runs), "groups").drop("run") if step == 1 else runs.drop("run")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in_bits: int = 5, rounds: int = 2) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, keep_id, group_size, kept, text_sha256 for every row."""
     rows = written(digest_rows(docs, id_col, text_col), "digests")
-    groups = written(merge_runs(rows, fan_in_bits, rounds), "groups")  # so that the join's tasks can be split where a digest is hot
+    groups = merge_runs(rows)  # written, so that the join's tasks can be split where a digest is hot
     return rows.join(groups, ["digest", "n_bytes"]).select(
         F.col("id"),
         F.col("best.id").alias("keep_id"),
@@ -67,10 +78,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in_bits: int = 5, rounds: int = 2) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one row of each group of equal texts, all columns as they were."""
     rows = written(digest_rows(docs, id_col, text_col), "digests")
-    best = merge_runs(rows, fan_in_bits, rounds).select("digest", F.col("best.id").alias("best_id"), (-F.col("best.neg_points")).alias("best_points"))
+    best = merge_runs(rows).select("digest", F.col("best.id").alias("best_id"), (-F.col("best.neg_points")).alias("best_points"))
     text = text_or_empty(text_col)
     keyed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.length(text).alias("n_points"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"))
     same = (keyed.digest == best.digest) & keyed.id.eqNullSafe(best.best_id) & (keyed.n_points == best.best_points)
