@@ -1,18 +1,21 @@
 """Substring dedup: repeats of at least `window` words anywhere in the corpus.
 
-The repeats are the deep internal nodes of a suffix tree over words: nodes at depth `window` with two leaves or more.
-The tree is never built in one place, and most suffixes never leave their task:
-
-1. Of each window the suffixes are partitioned by a prefix that starts at the window's smallest run of SEED words (by
-   hash). Equal windows have the same seed at the same offset, so no repeat is lost, and about one suffix in fifteen
-   words moves, as its prefix alone. Prefixes that occur once are leaves and are dropped.
-2. Where a prefix recurs, it is prolonged to both sides as far as its windows reach, and documents that hold such
-   prefixes go on with their text. Prefixes prolonged in one way only need no more splitting: all their windows repeat.
-3. Prefixes prolonged in several ways are split further, down to depth `window`: nodes are told by a 128-bit hash of
-   their path, counted, and those with two leaves or more mark their words.
-
-Groups are counted with sums before they move, so a passage that a third of all rows share loads no task; joins that
-bring counts back to rows have one row a key on the counted side, written first, so Spark can split hot keys.
+The repeats are the deep internal nodes of a suffix tree over words: nodes at depth `window` with two leaves or more. The
+tree is cut into subtrees by prefixes of varying length, and each subtree is built in the memory of one task.
+
+1. Of each window the suffixes are dealt by a first prefix, the window's smallest run of SEED words (by hash). Equal
+   windows have the same one at the same offset, so no repeat is lost, and about one suffix in twelve words stands for
+   all windows around it: a segment. Prefixes that occur once are leaves and are dropped.
+2. Segments equal in all words (by length and a 128-bit digest of the words) are one path; if there are two or more,
+   all their windows repeat. Of the other segments those whose prefix has no second path are leaves.
+3. What is left goes to subtrees, one row for each path with its words. A prefix that more than GROUP paths share is
+   lengthened: its windows are dealt one by one by their first LONGER words, and those of groups that are still too large
+   by all their words, which makes each group one node. The other groups are built whole: suffixes are ranked by prefix
+   doubling over exact word numbers, and windows of equal rank are the leaves of one node. No hash decides there.
+
+Paths are counted with sums before they move, so a passage that a third of all rows share loads no task; joins that
+bring counts back to rows have one row a key on the counted side, written first, so Spark can split hot keys. Texts
+move once: they are held in a table bucketed by row, which later steps join where it lies.
 
 Defined results: a null text has no words; ids may be null or repeat (rows equal in id and text are occurrences of
 their own); texts are read whole, of any length; an empty table gives no rows; other columns are left alone.
@@ -28,10 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, text_or_empty, written
-from .wordhash import BASES, Powers, Words, chunks, mix
+from .common import arrow_rows, bucketed, released, text_or_empty, written
+from .wordhash import BASES, Powers, Words, chunks
 
 SEED = 8
+LONGER = 16
+GROUP = 20_000  # paths or windows of one subtree; a path is at most 2 * window words
+TASK_BYTES = 4 << 20  # of paths that a task builds subtrees of at once, unless one group has more
 WINDOW = 35
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -52,10 +58,11 @@ class Cutter:
 
     def __init__(self, window: int = WINDOW, seed: int = SEED) -> None:
         self.window, self.seed = window, min(seed, window)
-        self.bytes, self.one, self.two = Powers(BASES[0]), Powers(BASES[0]), Powers(BASES[1])
+        self.bytes, self.one = Powers(BASES[0]), Powers(BASES[0])
 
     def words(self, texts: list[bytes]) -> Words:
-        return Words(texts, self.bytes)
+        """The words, with one space between them."""
+        return Words([b" ".join(t.split()) for t in texts], self.bytes)
 
     def segments(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Seed hash, first word and number of windows of each segment."""
@@ -72,16 +79,14 @@ class Cutter:
         new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]))
         return seeds[place[new]], starts[new], np.diff(np.append(new, len(starts)))
 
-    def segment_hash(self, words: Words, a: np.ndarray, m: np.ndarray) -> np.ndarray:
-        total, down = words.sums(self.two)
-        return mix((total[a + m + self.window - 1] - total[a]) * down[a] + m.astype(np.uint64))
+    def parts(self, words: Words, a: np.ndarray, m: np.ndarray) -> list[bytes]:
+        """The words of segments."""
+        data = words.data
+        return [data[i:j] for i, j in zip(words.start[a].tolist(), words.end[a + m + self.window - 2].tolist(), strict=True)]
+
 
-    def window_hashes(self, words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = []
-        for powers in (self.one, self.two):
-            total, down = words.sums(powers)
-            out.append(mix((total[at + self.window] - total[at]) * down[at]))
-        return out[0], out[1]
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def _spread(a: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -93,58 +98,120 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _result(doc_id: pa.Array, words: list[int], removed: list[int], kept: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([doc_id, pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-
-def _kept_text(words: Words, k: int, removed: np.ndarray | None = None) -> bytes:
-    a, b = words.first_word[k], words.first_word[k + 1]
-    at = range(a, b) if removed is None else (np.flatnonzero(~removed) + a).tolist()
-    start, end, data = words.start, words.end, words.data
-    return b" ".join([data[start[i] : end[i]] for i in at])
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def repeated(paths: list[bytes], m: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
+    """For each window of the paths (m[i] windows of path i, which stands for n[i] segments) whether its node has two
+    leaves or more. Suffixes are ranked by their first 1, 2, 4, ... words, at last by `window` words."""
+    split = [p.split(b" ") for p in paths]
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    coded = pa.array([w for p in split for w in p], pa.binary()).dictionary_encode()
+    sorted_words = np.argsort(np.array(coded.dictionary.to_pylist(), object), kind="stable")
+    order = np.empty(len(sorted_words), np.int64)
+    order[sorted_words] = np.arange(len(sorted_words))
+    rank, length = order[coded.indices.to_numpy()], 1
+
+    def longer(at: np.ndarray, step: int) -> np.ndarray:
+        return np.unique(rank[at] * (int(rank.max()) + 1) + rank[at + step], return_inverse=True)[1]
+
+    while 2 * length <= window:
+        rank, length = longer(np.arange(len(rank) - length), length), 2 * length
+    starts = _spread(np.cumsum(sizes) - sizes, m)
+    if length < window:
+        rank = longer(starts, window - length)
+    else:
+        rank = rank[starts]
+    return np.bincount(rank, np.repeat(n, m))[rank] >= 2
+
+
+def subtrees(paths: DataFrame, window: int) -> DataFrame:
+    """doc_id, row_key, a, m: runs of windows whose nodes have several leaves, of paths that stand for one segment.
+    paths: prefix, n, doc_id, row_key, a, m, words; the paths of one prefix fit in memory."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "row_key", "a", "m"]
+
+        def nodes(rows: pa.Table) -> pa.RecordBatch:
+            m, n = rows.column("m").to_numpy(), rows.column("n").to_numpy()
+            again = repeated(rows.column("words").to_pylist(), m, n, window) & (np.repeat(n, m) == 1)
+            of, at = np.repeat(np.arange(len(m)), m), _spread(np.zeros(len(m), np.int64), m)
+            of, at = of[again], at[again]
+            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)])) if len(of) else of
+            found = rows.select(["doc_id", "row_key", "a"]).take(pa.array(of[first])).combine_chunks()
+            a = found.column("a").to_numpy() + at[first]
+            return pa.RecordBatch.from_arrays([*(found.column(k).combine_chunks() for k in names[:2]), pa.array(a.astype(np.int32)), pa.array(np.diff(np.append(first, len(of))).astype(np.int32))], names=names)
+
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in released(batches):
+            held.append(batch)
+            size += batch.nbytes
+            if size < TASK_BYTES:
+                continue
+            rows = pa.Table.from_batches(held)
+            prefix = rows.column("prefix").to_numpy()
+            whole = int(np.flatnonzero(prefix != prefix[-1])[-1:].sum() + 1) if prefix[0] != prefix[-1] else 0
+            if whole:  # groups that have ended
+                yield nodes(rows.slice(0, whole))
+                held = rows.slice(whole).to_batches()
+                size = sum(b.nbytes for b in held)
+        if held and sum(b.num_rows for b in held):
+            yield nodes(pa.Table.from_batches(held))
+
+    return paths.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(build, "doc_id long, row_key long, a int, m int")
+
+
+def deep_windows(paths: DataFrame, window: int, group: int = GROUP) -> DataFrame:
+    """What subtrees() gives, of paths whose prefixes may be shared by any number of them."""
+    large = written(paths.groupBy("prefix").agg(F.count("*").alias("size")).filter(F.col("size") > group).select("prefix"), "large-prefixes")
+    found = subtrees(paths.join(large, "prefix", "left_anti"), window)
+    if large.isEmpty():
+        return found
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, (m, paths) in arrow_rows(batches, "m", "words"):
+            split = [p.split(b" ") for p in paths]
+            of = np.repeat(np.arange(len(m)), m)
+            at = _spread(np.zeros(len(m), np.int64), np.array(m, np.int64))
+            parts = [b" ".join(split[i][j : j + window]) for i, j in zip(of.tolist(), at.tolist(), strict=True)]
+            prefixes = [int.from_bytes(digest(b" ".join(split[i][j : j + LONGER]))[:8], "little", signed=True) for i, j in zip(of.tolist(), at.tolist(), strict=True)]
+            n, doc_id, row_key, a = (batch.column(batch.schema.get_field_index(k)).take(pa.array(of)) for k in ("n", "doc_id", "row_key", "a"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(prefixes, pa.int64()), pa.array(map(digest, parts), pa.binary()), n, doc_id, row_key, pa.array((a.to_numpy() + at).astype(np.int32)), pa.array(np.ones(len(of), np.int32)), pa.array(parts, pa.binary())],
+                names=["prefix", "node", "n", "doc_id", "row_key", "a", "m", "words"],
+            )
+
+    schema = "prefix long, node binary, n long, doc_id long, row_key long, a int, m int, words binary"
+    longer = written(paths.join(large, "prefix", "left_semi").mapInArrow(windows, schema), "longer-prefixes")
+    larger = written(longer.groupBy("prefix").agg(F.count("*").alias("size")).filter(F.col("size") > group).select("prefix"), "larger-prefixes")
+    found = found.unionByName(subtrees(longer.join(larger, "prefix", "left_anti").drop("node"), window))
+    single = longer.join(larger, "prefix", "left_semi").drop("words")
+    nodes = written(single.groupBy("node").agg(F.sum("n").alias("leaves")).filter("leaves > 1").select("node"), "nodes")
+    return found.unionByName(single.filter("n = 1").join(nodes, "node", "left_semi").select("doc_id", "row_key", "a", "m"))
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text if asked for) of every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
 
-    # 1. prefixes: only their hashes move
+    # 1. first prefixes: only their hashes move; then texts meet those of their prefixes that recur
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(window)
-        for batch, (texts, keys) in arrow_rows(batches, "text", "row_key"):
+        for _, (texts, keys) in arrow_rows(batches, "text", "row_key"):
             for first, run in chunks(texts):
                 words = cutter.words(run)
                 seed, a, _ = cutter.segments(words)
                 yield pa.RecordBatch.from_arrays([_signed(seed), pa.array(np.array(keys, np.int64)[first + words.doc[a]])], names=["seed", "row_key"])
 
-    prefixes = docs.select("text", "row_key").mapInArrow(seeds, "seed long, row_key long")
+    prefixes = written(docs.select("text", "row_key").mapInArrow(seeds, "seed long, row_key long"), "prefixes")
     again = written(prefixes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "seeds")
     of_rows = prefixes.join(again, "seed", "left_semi").groupBy("row_key").agg(F.collect_set("seed").alias("seeds"))
+    held = bucketed(docs.join(of_rows, "row_key", "left").select("row_key", "doc_id", "text", "seeds"), "row_key", "held")
 
-    # 2. documents with recurring prefixes go on; the others are done
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(window)
-        for batch, (texts, found) in arrow_rows(batches, "text", "seeds"):
-            done = [i for i, f in enumerate(found) if f is None]
-            n, sha = [0] * len(texts), [None] * len(texts)
-            for first, run in chunks([t if f is None else "" for t, f in zip(texts, found, strict=True)]):
-                words = cutter.words(run)
-                for k in range(len(run)):
-                    n[first + k] = int(words.first_word[k + 1] - words.first_word[k])
-                    sha[first + k] = hashlib.sha256(_kept_text(words, k)).hexdigest()
-            for i in set(range(len(texts))) - set(done):
-                sha[i] = None
-            keep = texts if with_text else [None if f is None else t for t, f in zip(texts, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.string()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), batch.column(3)], names=["doc_id", "row_key", "text", "n_words", "sha", "seeds"])
-
-    parted = written(docs.join(of_rows, "row_key", "left").select("doc_id", "row_key", "text", "seeds").mapInArrow(part, "doc_id long, row_key long, text string, n_words long, sha string, seeds array<long>"), "parted")
-    open_docs = parted.filter("sha IS NULL").select("doc_id", "row_key", "text", "seeds")
-
-    def prolong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # 2. segments of recurring prefixes, and their paths
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(window)
         for batch, (texts, keys) in arrow_rows(batches, "text", "row_key"):
-            ids, lists = batch.column(0).to_pylist(), batch.column(3)
+            ids, lists = batch.column(1).to_pylist(), batch.column(3)
             for first, run in chunks(texts):
                 words = cutter.words(run)
                 seed, a, m = cutter.segments(words)
@@ -155,63 +222,55 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                     wanted[bounds[k] : bounds[k + 1]] = np.isin(seed[bounds[k] : bounds[k + 1]].view(np.int64), lists[first + k].values.to_numpy())
                 seed, a, m, doc = seed[wanted], a[wanted], m[wanted], doc[wanted]
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(seed), _signed(cutter.segment_hash(words, a, m)), pa.array([ids[first + k] for k in doc.tolist()], pa.int64()), pa.array(np.array(keys, np.int64)[first + doc]), pa.array((a - words.first_word[doc]).astype(np.int32)), pa.array(m.astype(np.int32))],
-                    names=["seed", "seg", "doc_id", "row_key", "a", "m"],
+                    [_signed(seed), pa.array(map(digest, cutter.parts(words, a, m)), pa.binary()), pa.array([ids[first + k] for k in doc.tolist()], pa.int64()), pa.array(np.array(keys, np.int64)[first + doc]), pa.array((a - words.first_word[doc]).astype(np.int32)), pa.array(m.astype(np.int32))],
+                    names=["prefix", "path", "doc_id", "row_key", "a", "m"],
                 )
 
-    segments = written(open_docs.mapInArrow(prolong, "seed long, seg long, doc_id long, row_key long, a int, m int"), "segments")
-    ways = segments.groupBy("seed", "seg").agg(F.count("*").alias("n"))
-    shape = written(ways.groupBy("seed").agg(F.count("*").alias("ways"), F.max("n").alias("most")).filter("ways > 1 OR most > 1").select("seed", "ways"), "prefix-ways")
-    known = segments.join(shape, "seed").select("doc_id", "row_key", "a", "m", (F.col("ways") == 1).alias("whole"))
-    of_docs = known.groupBy("doc_id", "row_key").agg(F.collect_set(F.when(F.col("whole"), F.struct("a", "m"))).alias("whole"), F.collect_set(F.when(~F.col("whole"), F.struct("a", "m"))).alias("split")).withColumnRenamed("doc_id", "i").withColumnRenamed("row_key", "k")
-    same = (F.col("row_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i"))
-    marked = written(open_docs.join(of_docs, same, "left").select("doc_id", "row_key", "text", "whole", "split"), "open")
-
-    # 3. nodes at full depth, only where prefixes were prolonged in several ways
-    def deepen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(window)
-        for batch, (texts, keys, spans) in arrow_rows(batches, "text", "row_key", "split"):
-            ids = batch.column(0).to_pylist()
-            for first, run in chunks(texts):
-                words = cutter.words(run)
-                pairs = [(k, s["a"], s["m"]) for k in range(len(run)) for s in spans[first + k] or ()]
-                if not pairs:
-                    continue
-                doc, a, m = np.array(pairs, np.int64).T
-                at = _spread(a + words.first_word[doc], m)
-                one, two = cutter.window_hashes(words, at)
-                doc = np.repeat(doc, m)
-                yield pa.RecordBatch.from_arrays([_signed(one), _signed(two), pa.array([ids[first + k] for k in doc.tolist()], pa.int64()), pa.array(np.array(keys, np.int64)[first + doc]), pa.array((at - words.first_word[doc]).astype(np.int32))], names=["h1", "h2", "doc_id", "row_key", "a"])
-
-    nodes = written(marked.filter(F.size("split") > 0).mapInArrow(deepen, "h1 long, h2 long, doc_id long, row_key long, a int"), "nodes")
-    deep = written(nodes.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"), "deep-nodes")
-    hits = nodes.join(deep, ["h1", "h2"], "left_semi").groupBy(F.col("doc_id").alias("i"), F.col("row_key").alias("k")).agg(F.collect_set("a").alias("deep"))
+    segments = held.filter("seeds IS NOT NULL").mapInArrow(cut, "prefix long, path binary, doc_id long, row_key long, a int, m int")
+    segments = written(segments, "segments")
+    paths = segments.groupBy("prefix", "path").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "row_key", "a", "m")])
+    paths = written(paths, "paths")
+    whole = segments.join(paths.filter("n > 1").select("path"), "path", "left_semi").select("doc_id", "row_key", "a", "m")
+
+    # 3. subtrees of prefixes with several paths
+    several = written(paths.groupBy("prefix").agg(F.count("*").alias("ways")).filter("ways > 1").select("prefix"), "several")
+    asked = paths.join(several, "prefix", "left_semi").groupBy("row_key").agg(F.collect_list(F.struct("doc_id", "prefix", "n", "a", "m")).alias("asked"))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (ids, keys, texts, wanted) in arrow_rows(batches, "doc_id", "row_key", "text", "asked"):
+            rows = [(r["prefix"], r["n"], doc_id, row_key, r["a"], r["m"], b" ".join(words[r["a"] : r["a"] + r["m"] + window - 1])) for doc_id, row_key, text, found in zip(ids, keys, texts, wanted, strict=True) for words in [text.encode().split()] for r in found if r["doc_id"] == doc_id]
+            if rows:
+                kinds = {"prefix": pa.int64(), "n": pa.int64(), "doc_id": pa.int64(), "row_key": pa.int64(), "a": pa.int32(), "m": pa.int32(), "words": pa.binary()}
+                yield pa.RecordBatch.from_pydict({name: pa.array(column, kind) for (name, kind), column in zip(kinds.items(), zip(*rows, strict=True), strict=True)})
+
+    # rows equal in id and text share what is asked of them: one of them answers
+    owners = held.join(asked, "row_key").select("doc_id", "row_key", "text", "asked").dropDuplicates(["row_key", "doc_id"])
+    words = written(owners.mapInArrow(fetch, "prefix long, n long, doc_id long, row_key long, a int, m int, words binary"), "path-words")
+    spans = whole.unionByName(deep_windows(words, window, group))
+    of_docs = spans.groupBy("row_key").agg(F.collect_set(F.struct("doc_id", "a", "m")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(window)
-        for batch, (texts, whole, deep_at) in arrow_rows(batches, "text", "whole", "deep"):
+        for batch, (ids, texts, all_spans) in arrow_rows(batches, "doc_id", "text", "spans"):
             n, removed, sha, kept = [], [], [], []
-            for first, run in chunks(texts):
-                words = cutter.words(run)
-                for k in range(len(run)):
-                    size = int(words.first_word[k + 1] - words.first_word[k])
-                    change = np.zeros(size + 1, np.int64)
-                    for s in whole[first + k] or ():
-                        change[s["a"]] += 1
-                        change[s["a"] + s["m"] + window - 1] -= 1
-                    at = np.array(deep_at[first + k] or [], np.int64)
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + window, -1)
-                    gone = np.cumsum(change[:-1]) > 0
-                    data = _kept_text(words, k, gone)
-                    n.append(size)
-                    removed.append(int(gone.sum()))
-                    sha.append(hashlib.sha256(data).hexdigest())
-                    kept.append(data.decode() if with_text else None)
-            out = _result(batch.column(0), n, removed, sha)
-            yield out.append_column("kept_text", pa.array(kept, pa.string())) if with_text else out
+            for doc_id, text, spans in zip(ids, texts, all_spans, strict=True):
+                words = text.encode().split()
+                spans = [s for s in spans or () if s["doc_id"] == doc_id]
+                n.append(len(words))
+                gone = 0
+                if spans:
+                    change = np.zeros(len(words) + 1, np.int64)
+                    a, m = (np.array([s[k] for s in spans], np.int64) for k in ("a", "m"))
+                    np.add.at(change, a, 1)
+                    np.add.at(change, a + m + window - 1, -1)
+                    stays = np.cumsum(change[:-1]) == 0
+                    gone = len(words) - int(stays.sum())
+                    words = [words[i] for i in np.flatnonzero(stays).tolist()]
+                removed.append(gone)
+                data = b" ".join(words)
+                sha.append(hashlib.sha256(data).hexdigest())
+                kept.append(data.decode() if with_text else None)
+            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.string())] * with_text, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
 
     schema = RESULT + (", kept_text string" if with_text else "")
-    ended = marked.join(hits, same, "left").select("doc_id", "text", "whole", "deep").mapInArrow(finish, schema)
-    done = parted.filter("sha IS NOT NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), *([F.array_join(F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != ""), " ").alias("kept_text")] if with_text else []))
-    return done.unionByName(ended)
+    return held.join(of_docs, "row_key", "left").select("doc_id", "text", "spans").mapInArrow(finish, schema)
