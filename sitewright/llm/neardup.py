@@ -17,7 +17,8 @@ that smooths the weight. Two texts are near duplicates if their weighted Jaccard
 
 Defined results: a text of one to four words is one shingle of all its words; null, empty and blank texts have none
 and are near duplicates only of texts equal to them; ids may be null or repeat (the smallest id that is not null names
-the class); an empty table gives no rows; other columns are left alone.
+the class, and of rows that share it, or of a class without ids, one row stays); an empty table gives no rows; other
+columns are left alone.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, released, text_or_empty, written
+from .common import arrow_rows, released, removed, text_or_empty, written
 from .wordhash import BASES, Powers, Words, chunks, mix
 
 SHINGLE = 5
@@ -154,7 +155,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def band_rows(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id, node (key of the text) and bands of each document (doc_id, text)."""
+    """doc_id, node (key of the text), bands and a row number of each document (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # a table of fixed size
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,24 +167,25 @@ def band_rows(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 owner, keys = sampler.bands(doc, hashes, weigh(hashes, tf, shared.value))
                 for k, row in zip(owner.tolist(), keys.view(np.int64).tolist(), strict=True):
                     out[first + k] = row
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "node", "row", "bands"])
 
-    return docs.select("doc_id", F.unhex(F.md5("text")).alias("node"), "text").mapInArrow(sample, "doc_id long, node binary, bands array<long>")
+    return docs.select("doc_id", F.unhex(F.md5("text")).alias("node"), F.monotonically_increasing_id().alias("row"), "text").mapInArrow(sample, "doc_id long, node binary, row long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node of its component) for the nodes of edges (a, b), by large-star and small-star rounds."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    edges, before = written(edges, "edges"), None
+    spark, edges, before = edges.sparkSession, written(edges, "edges"), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(written(least, "large"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = written(large, "large-star")
+        first = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "large")
+        large = written(both.join(first, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large-star")
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), "small")
         small = large.join(least, "a").select("a", "b", "m")
-        small = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        edges = written(small, "small-star")
+        small = written(small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "small-star")
+        for done in (edges, first, large, least):
+            removed(spark, done)
+        edges = small
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before or not state[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -301,9 +303,10 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     members = written(spread.join(met, "bucket"), "members")
     degree = written(members.groupBy("node").agg(F.sum("size").alias("degree")), "degrees")
     members = written(members.drop("size").join(degree, "node"), "met")
-    # always a merge join: what meets grows with the corpus, and texts are dealt by node once for join and aggregation
-    keyed = docs.select("text", F.unhex(F.md5("text")).alias("node"))
-    texts = written(keyed.join(degree.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).withColumn("n_bytes", F.octet_length("text")), "texts")
+    # Copies become one row where they lie, before they move; always a merge join, as what meets grows with the corpus,
+    # so texts are dealt by node once for aggregation and join.
+    keyed = docs.select("text", F.unhex(F.md5("text")).alias("node")).groupBy("node").agg(F.first("text").alias("text"))
+    texts = written(keyed.join(degree.select("node").hint("merge"), "node", "left_semi").withColumn("n_bytes", F.octet_length("text")), "texts")
 
     # first pivots: the node of a bucket that meets most others
     top = written(members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top")).select("bucket", F.col("top.node").alias("pivot")), "pivots")
@@ -321,9 +324,13 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     if not more.isEmpty():
         roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
 
-    by_node = rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
-    classes = written(by_node.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
-    return by_node.join(classes, "root").select("doc_id", "node", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    # classes from one row a node; the documents then meet their node's class
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    own = rows.groupBy("node").agg(first.alias("first"), F.count("*").alias("n")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first", "n")
+    own = written(own, "nodes")
+    classes = written(own.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("class_size")), "classes")
+    named = written(own.select("node", "root").join(classes, "root").select("node", F.col("first.doc_id").alias("class_id"), "class_size", F.col("first.row").alias("kept_row")), "named")
+    return rows.select("doc_id", "node", "row").join(named, "node").select("doc_id", "node", "class_id", "class_size", (F.col("row") == F.col("kept_row")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
