@@ -200,8 +200,8 @@ def test_decontaminate_short_dense_and_named_items(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(frame, bench).collect()) == [4, 5, 6]
 
 
-@pytest.mark.parametrize("window", [35, 9])
-def test_substring(spark, hard, empty, window):
+@pytest.mark.parametrize(("window", "group"), [(35, 20_000), (9, 20_000), (35, 3), (20, 2), (8, 1)])
+def test_substring(spark, hard, empty, window, group):
     rng = random.Random(7)
     passages = [[f"p{k}_{i}" for i in range(60)] for k in range(4)]
     texts = [(i, " ".join(x for _ in range(3) for x in ([f"u{rng.random()}"] * rng.randrange(1, 5) + rng.choice(passages)[rng.randrange(20) : rng.randrange(30, 60)]))) for i in range(40)] + HARD
@@ -215,7 +215,7 @@ def test_substring(spark, hard, empty, window):
                 gone[k : k + window] = [True] * window
         want[i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()] += 1
     docs = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, seed int")
-    assert Counter(map(tuple, substring.remove_repeats(docs, window).collect())) == want
+    assert Counter(map(tuple, substring.remove_repeats(docs, window, group=group).collect())) == want
     assert substring.remove_repeats(empty).count() == 0
 
 
@@ -309,3 +309,83 @@ def test_near_blocks(spark, limits):
     true = {(nodes[i], nodes[j]) for (i, j), s in zip(pairs, sims, strict=True) if s >= 0.8 - 1e-9}
     links = {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in found}
     assert links and links <= true and classes(links) == classes(true)
+
+
+def test_toxicity_viterbi_is_exhaustive_search():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    cost = toxicity.language_model(rng.integers(0, 50, toxicity.SYMBOLS**3))
+    restorer, pick = toxicity.Restorer(cost), random.Random(4)
+
+    def total(letters, noise):
+        a = b = 0
+        for c in letters + " ":
+            z = toxicity.CODE[c]
+            noise, a, b = noise + cost[a][b][z], b, z
+        return noise
+
+    for _ in range(200):
+        noisy, spread = "".join(pick.choice("abdt10@$!*#") for _ in range(pick.randrange(1, 6))), pick.random() < 0.5
+        runs = [(m[1], len(m[0])) for m in toxicity.RUNS.finditer(noisy)]
+        every = [restorer.options(c, n, spread and k > 0) for k, (c, n) in enumerate(runs)]
+        paths = [("".join(o[0] for o in path), sum(o[2] for o in path)) for path in itertools.product(*every)]
+        best = min(total(*p) for p in paths)
+        got = restorer.word(noisy, spread)
+        assert min(total(*p) for p in paths if p[0] == got) == pytest.approx(best), noisy
+
+
+def test_toxicity_is_linear_in_long_words():
+    import base64
+    import time
+
+    reader = toxicity.Reader(toxicity.language_model(np.ones(toxicity.SYMBOLS**3, np.int64)))
+    blob = base64.b64encode(random.Random(5).randbytes(600_000)).decode()
+    began = time.perf_counter()
+    for text in ("x" * 200_000, "ab1" * 70_000, "日本" * 500_000, "1" * 100_000 + "a", "a" + "12" * 100_000, blob):
+        reader.marks(text)
+    assert time.perf_counter() - began < 40
+
+
+def test_toxicity_reads_disguises():
+    text = " ".join(["you idiot"] * 50 + ["bitch"] * 20 + ["shit ass"] * 20 + ["the water of the river"] * 20)
+    reader = toxicity.Reader(toxicity.language_model(toxicity.letter_counts([text])))
+    for disguised, word in (("1d10t", "idiot"), ("bitc#", "bitch"), ("shi7", "shit"), ("a$$", "ass"), ("i d i o t", "idiot"), ("i d.i o-t", "idiot"), ("i/d/i/o/t", "idiot"), ("y o u i d i o t", "idiot"), ("a$$!", "ass"), ("idiooooot", "idiot")):
+        assert word in reader.marks(f"the {disguised} of"), disguised
+    assert {"the", "water", "2024"} & reader.marks("the water 2024") == {"the", "water"}
+
+
+def test_near_keeps_one_row_of_each_class(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = " ".join(base[:99] + ["x"])
+    rows = [(7, " ".join(base)), (7, near), (7, near), (9, "alone"), (None, "null one two three four five"), (None, "null one two three four five"), (None, None), (None, None), (3, ""), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = neardup.near_classes(docs).collect()
+    by_class = defaultdict(list)
+    for r in found:
+        by_class[r.class_id, r.class_size].append(r.kept)
+    assert {k: (len(v), sum(v)) for k, v in by_class.items()} == {(7, 3): (3, 1), (9, 1): (1, 1), (None, 2): (2, 1), (3, 4): (4, 1)}
+    assert neardup.drop_near_duplicates(docs).count() == 4
+
+
+def test_substring_tells_words_of_one_polynomial_hash_apart(spark):
+    flip = lambda w: w.translate(str.maketrans("ab", "ba"))
+    word = "a"
+    while len(word) < 4096:
+        word += flip(word)
+    common = [f"c{i}" for i in range(34)]
+    docs = [(1, " ".join([*common, word])), (2, " ".join([*common, flip(word)])), (3, " ".join(["x", *common, "y"])), (4, " ".join(["z", *common, "y"]))]
+    got = {r.doc_id: r.n_removed for r in substring.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 35, 4: 35}
+
+
+def test_exact_merges_any_number_of_runs(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice("abcdefgh") * rng.randrange(1, 3) + " " * rng.randrange(3)) for i in range(500)]
+    want = defaultdict(list)
+    for i, t in rows:
+        want[t.replace(" ", "")].append((-len(t), i))
+    for parts in (1, 2, 3, 8, 13):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = exact_dedup.exact_groups(docs).collect()
+        assert {r.id: (r.keep_id, r.group_size, r.kept) for r in got} == {i: (min(g)[1], len(g), min(g)[1] == i) for g in want.values() for _, i in g}
