@@ -16,8 +16,11 @@ document and item, or with shifts that differ by less than half the item's lengt
 `similarity` of the item's slot values are consistent in the whole document, or in one occurrence that by itself
 holds at least `similarity` of the item's windows. The figures are those of the first of these that holds.
 
-The benchmark's windows are broadcast if they are counted to be few enough, else joined by a shuffle. Candidates are
-written down and joined back by Spark's own choice. Matches are summed per document and item before they move.
+Documents keep the distinct windows that occur in the benchmark at all: those of the benchmark are broadcast if they are
+counted to be at most MOST_BROADCAST, else joined by a shuffle, with the same result. An item then meets documents by
+its rarest windows alone: who holds `similarity` of n windows holds one of any n - ceil(similarity * n) + 1 of them. A
+window that many items and documents share therefore makes no pairs, unless an item has no rarer ones. What met is
+written down, and all windows of these pairs are counted.
 
 Defined results: null texts are empty; items without words match nothing; items and documents may repeat (each row of
 either counts by its id and text); empty tables give no rows; other columns are left alone. Names are words with one
@@ -26,6 +29,9 @@ capital, the first; words all in capitals are words. Pairs met literally have no
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,36 +41,37 @@ NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 #: Units of measure, as words after a number.
 UNITS = "km|kg|mg|cm|mm|ml|kmh|mph|lbs|ft|hz|khz|mhz|ghz|kb|mb|gb|tb|percent|meters|metres|miles|hours|minutes|seconds|days|weeks|months|years|dollars|euros|pounds|grams|liters|litres|degrees"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~„“”‘’«»…¿¡–—"
-#: Capitalised words inside a sentence, and anywhere.
-NAMES = "(?<=[^.!?\\s]\\s)\\p{Lu}\\p{Ll}+(?!\\p{L})"
-ALL_NAMES = "(?<!\\p{L})\\p{Lu}\\p{Ll}+(?!\\p{L})"
+PUNCTUATION_CLASS = "[!-/:-@\\[-`{-~„“”‘’«»…¿¡–—]"
+#: Capitalised words inside a sentence, and anywhere; the capital is looked for first, as few characters are one.
+NAMES = "\\p{Lu}(?<=[^.!?\\s]\\s\\p{Lu})\\p{Ll}+(?!\\p{L})"
+ALL_NAMES = "(\\p{Lu})(?<!\\p{L}\\p{Lu})(\\p{Ll}+)(?!\\p{L})"
+EITHER = "\ue003"  # before a word that may be a name
 WORDS = 5
 LEAST_WORDS = 3
-MOST_BROADCAST = 4_000_000  # windows: 16 bytes each
-
+MOST_BROADCAST = 250_000  # windows: a key of 8 bytes, about 64 with its place in the hashed relation, so 16 MB
 
-def _numbered(text: Column) -> Column:
-    text = F.regexp_replace(text, f"(?i)[0-9]+(?:[.,:/][0-9]+)*\\s?(?:{UNITS})\\b", f" {NUMBER} {UNIT} ")
-    return F.regexp_replace(text, "[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
 
-
-def _named(text: Column, names: str) -> Column:
-    return F.translate(F.lower(F.regexp_replace(text, names, NAME)), PUNCTUATION, "")
+def _single_blanks(text: Column) -> Column:
+    return F.regexp_replace(text, "\\s{2,}|[^\\S ]", " ")
 
 
 def _split(text: Column) -> Column:
-    return F.filter(F.split(text, "\\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, " "), "")
 
 
 def readings(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """keys, t and u: the template words, with capitalised words that begin a sentence as words (t) and as names (u)."""
-    base = df.select(*keys, _numbered(text).alias("base"))
-    return base.select(*keys, _split(_named(F.col("base"), NAMES)).alias("t"), _split(_named(F.col("base"), ALL_NAMES)).alias("u"))
+    text = F.regexp_replace(_single_blanks(text), f"(?i)[0-9]+(?:[.,:/][0-9]+)*\\s?(?:{UNITS})\\b", f" {NUMBER} {UNIT} ")
+    text = F.regexp_replace(text, "[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
+    text = F.regexp_replace(F.regexp_replace(text, NAMES, NAME), ALL_NAMES, f"{EITHER}$1$2")
+    base = df.select(*keys, F.regexp_replace(F.lower(text), PUNCTUATION_CLASS, "").alias("base"))
+    as_words, as_names = F.replace(F.col("base"), F.lit(EITHER), F.lit("")), F.regexp_replace("base", f"{EITHER}\\p{{L}}+", NAME)
+    return base.select(*keys, _split(as_words).alias("t"), _split(as_names).alias("u"))
 
 
 def valued(text: Column) -> Column:
     """The text cut into the same words as its template, with the values still there."""
-    text = F.regexp_replace(text, f"(?i)([0-9]+(?:[.,:/][0-9]+)*)\\s?({UNITS})\\b", " $1 $2 ")
+    text = F.regexp_replace(_single_blanks(text), f"(?i)([0-9]+(?:[.,:/][0-9]+)*)\\s?({UNITS})\\b", " $1 $2 ")
     text = F.regexp_replace(text, "([0-9])[.,:/](?=[0-9])", "$1")
     return F.translate(F.lower(text), PUNCTUATION, "")
 
@@ -84,41 +91,46 @@ def _other_starts(t: Column, u: Column) -> Column:
     return F.when((F.size(t) >= WORDS) & (t != u), F.array_distinct(around)).otherwise(F.array().cast("array<int>"))
 
 
-def _window_hash(h: Column, i: Column) -> Column:
-    return F.xxhash64(*[F.get(h, i + k) for k in range(WORDS)])
+def _window_hash(words: Column, i: Column) -> Column:
+    return F.xxhash64(*[F.get(words, i + k) for k in range(WORDS)])
+
 
+def _counted(words: Column, at: Column) -> Column:
+    """The hashes of an item's windows that count."""
+    slots = lambda i: sum((is_slot(F.get(words, i + k)).cast("int") for k in range(1, WORDS)), is_slot(F.get(words, i)).cast("int"))
+    return F.transform(F.filter(at, lambda i: slots(i) <= WORDS - LEAST_WORDS), lambda i: _window_hash(words, i))
 
-def _counted(h: Column, s: Column, at: Column) -> Column:
-    """The windows' hashes, of the hashes of their words; null where too few words are words (s: which are slots, null if none is)."""
-    slots = lambda i: sum((F.get(s, i + k) for k in range(1, WORDS)), F.get(s, i))
-    plain = F.transform(at, lambda i: _window_hash(h, i))
-    return F.when(s.isNull(), plain).otherwise(F.transform(at, lambda i: F.when(slots(i) <= WORDS - LEAST_WORDS, _window_hash(h, i))))
 
+def _in_step(words: str, n: int = WORDS) -> list[Column]:
+    """The words and, in step with them, the next n - 1."""
+    c = F.col(words)
+    return [c, *[F.slice(c, F.lit(k + 1), F.greatest(F.size(c), F.lit(1))) for k in range(1, n)]]
 
-def _hashed(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """keys, and for each reading its words' hashes (h, g) and slots (s, r)."""
-    words = readings(df, keys, text)
-    hashes = lambda c: F.transform(c, lambda w: F.xxhash64(w))
-    slots = lambda c: F.when(is_slot(F.array_join(c, " ")), F.transform(c, lambda w: is_slot(w).cast("int")))
-    return words.select(*keys, hashes("t").alias("h"), hashes("u").alias("g"), slots(F.col("t")).alias("s"), slots(F.col("u")).alias("r"))
+
+def _fields(words: str, first: int) -> list[Column]:
+    """What _in_step() gave, of a struct z zipped from its place `first` on."""
+    return [F.col("z").getField(words if k == 0 else str(first + k)) for k in range(WORDS)]
 
 
 def each_window(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """keys and w, a row for each window of either reading; null where too few words are words.
+    """keys and w, a row for each window of either reading; windows that do not count are not told apart, as no item
+    has them. Windows are taken from zipped arrays, so that their hashes are computed in generated code.
 
     What is exploded must not be a bare column: for that Spark infers a filter and pushes it down with its whole
-    expression, which would hash all words again for each window.
+    expression, which would cut all words again for each window.
     """
-    h, g, s, r = (F.col(c) for c in "hgsr")
-    return _hashed(df, keys, text).select(*keys, F.explode(F.concat(_counted(h, s, _starts(h)), _counted(g, r, _other_starts(h, g)))).alias("w"))
+    rows = readings(df, keys, text).select(*keys, F.explode(F.arrays_zip(*_in_step("t"), *_in_step("u"))).alias("z"))
+    t, u = _fields("t", 0), _fields("u", WORDS)
+    differ = reduce(or_, (a != b for a, b in zip(t, u, strict=True)))
+    return rows.filter(t[-1].isNotNull()).select(*keys, F.explode(F.array(F.xxhash64(*t), F.when(differ, F.xxhash64(*u)))).alias("w"))
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """item_id, form (0: first words as words, 1: as names), w (hash) and n (the form's distinct windows)."""
     items = benchmark.select(F.col(id_col).alias("item_id"), text_or_empty(text_col).alias("text")).dropDuplicates()
-    h, g, s, r = (F.col(c) for c in "hgsr")
-    forms = [_hashed(items, ["item_id"], F.col("text")).select("item_id", F.lit(k).alias("form"), F.explode(_counted(a, b, _starts(a))).alias("w")) for k, (a, b) in enumerate(((h, s), (g, r)))]
-    each = forms[0].unionByName(forms[1]).filter("w IS NOT NULL").distinct()
+    words = readings(items, ["item_id"], F.col("text"))
+    forms = [words.select("item_id", F.lit(k).alias("form"), F.explode(_counted(F.col(c), _starts(F.col(c)))).alias("w")) for k, c in enumerate("tu")]
+    each = forms[0].unionByName(forms[1]).distinct()
     own = Window.partitionBy("item_id")
     counted = each.withColumn("n", F.count("*").over(Window.partitionBy("item_id", "form"))).withColumn("first", F.max(F.when(F.col("form") == 0, F.col("n"))).over(own))
     return counted.filter(F.col("n") * 2 >= F.col("first")).drop("first")
@@ -126,56 +138,59 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def literal_words(text: Column) -> Column:
     """The words in small letters, without punctuation at their ends; signs of arithmetic that stand alone are words."""
-    ends = "\\p{Punct}„“”‘’«»…¿¡–—"
-    bare = lambda w: F.when(w.rlike("^[-+*/=<>^%]$"), w).otherwise(F.regexp_replace(w, f"^[{ends}]+|[{ends}]+$", ""))
-    return F.filter(F.transform(F.split(F.lower(text), "\\s+"), bare), lambda w: w != "")
-
-
-def _literal_windows(words: Column, k: Column | int) -> Column:
-    k = F.lit(k) if isinstance(k, int) else k
-    at = F.when((F.size(words) >= k) & (k > 0), F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(words, i + 1, k))))
-
-
-def literal_pairs(docs: DataFrame, benchmark: DataFrame, similarity: float, item_col: str, item_text_col: str) -> DataFrame | None:
-    """doc_id, text_hash, item_id, n, hits for items of which no window counts; none if there is no such item."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), text_or_empty(item_text_col).alias("text")).dropDuplicates()
-    h, s = F.col("h"), F.col("s")
-    no_window = ~F.exists(_counted(h, s, _starts(h)), lambda w: w.isNotNull())
-    bare = _hashed(items, ["item_id", "text"], F.col("text")).filter(no_window).select("item_id", literal_words(F.col("text")).alias("words"))
-    sized = bare.select("item_id", F.xxhash64("words").alias("item_hash"), F.least(F.size("words"), F.lit(WORDS)).alias("k"), "words").filter("k > 0")
-    each = sized.withColumn("ws", _literal_windows(F.col("words"), F.col("k"))).select("item_id", "item_hash", "k", F.size("ws").alias("n"), F.explode("ws").alias("w")).distinct()
-    asked = written(each, "literal-windows")
+    ends = "[\\p{Punct}„“”‘’«»…¿¡–—]+"
+    text = F.regexp_replace(F.lower(_single_blanks(text)), "(?<![^ ])[-+*/=<>^%](?![^ ])", f"{EITHER}$0{EITHER}")
+    return _split(F.regexp_replace(text, f"(?<![^ ]){ends}|{ends}(?![^ ])", ""))
+
+
+def _literal_windows(df: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
+    """keys, k and w: the windows of k words, for each of lengths, of df (keys and words)."""
+    rows = df.select(*keys, F.explode(F.arrays_zip(*_in_step("words"))).alias("z"))
+    z = _fields("words", 0)
+    hashes = [F.when(z[k - 1].isNotNull(), F.struct(F.lit(k).alias("k"), F.xxhash64(*z[:k]).alias("w"))) for k in lengths]
+    return rows.select(*keys, F.explode(F.array(*hashes)).alias("x")).filter("x IS NOT NULL").select(*keys, "x.k", "x.w")
+
+
+def literal_pairs(docs: DataFrame, benchmark: DataFrame, items: DataFrame, similarity: float, item_col: str, item_text_col: str) -> DataFrame | None:
+    """doc_id, text_hash, item_id, n, hits for items that have words, but no window in items; none if there is no such item."""
+    rows = benchmark.select(F.col(item_col).alias("item_id"), text_or_empty(item_text_col).alias("text")).dropDuplicates()
+    words = readings(rows, ["item_id", "text"], F.col("text"))
+    short = words.filter((F.size(_counted(F.col("t"), _starts(F.col("t")))) == 0) & (F.size(_counted(F.col("u"), _starts(F.col("u")))) == 0))
+    bare = short.select("item_id", literal_words(F.col("text")).alias("words")).select("item_id", "words", F.xxhash64("words").alias("form"), F.least(F.size("words"), F.lit(WORDS)).alias("own"))
+    each = _literal_windows(bare, ["item_id", "form", "own"], list(range(1, WORDS + 1))).filter("k = own").select("item_id", "form", "k", "w").distinct()
+    asked = written(each.withColumn("n", F.count("*").over(Window.partitionBy("item_id", "form"))), "literal-windows")
     lengths = sorted(r.k for r in asked.select("k").distinct().collect())  # at most WORDS
     if not lengths:
         return None
     words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), literal_words(F.col("text")).alias("words"))
-    windows = words.select("doc_id", "text_hash", F.explode(F.concat(*[_literal_windows(F.col("words"), k) for k in lengths])).alias("w"))
-    met = windows.join(F.broadcast(asked) if _small(asked) else asked, "w").groupBy("doc_id", "text_hash", "item_id", "item_hash", "n", "w").agg(F.lit(1).alias("one"))
-    return met.groupBy("doc_id", "text_hash", "item_id", "item_hash", "n").agg(F.count("*").alias("hits")).filter(F.col("hits") >= F.col("n") * similarity).drop("item_hash")
-
+    return held_pairs(_literal_windows(words, ["doc_id", "text_hash"], lengths).drop("k"), asked.drop("k"), similarity).drop("form")
 
-def _small(items: DataFrame) -> bool:
-    return items.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
-
-def candidates(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, text_hash, item_id, form, n, hits for documents that hold enough of the windows of an item's form."""
-    ws = each_window(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), ["doc_id", "text_hash"], F.col("text"))
-    found = ws.join(F.broadcast(items) if _small(items) else items, "w")
-    once = found.groupBy("doc_id", "text_hash", "item_id", "form", "n", "w").agg(F.lit(1).alias("one"))
-    hits = once.groupBy("doc_id", "text_hash", "item_id", "form", "n").agg(F.count("*").alias("hits"))
+def held_pairs(windows: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, text_hash, item_id, form, n, hits where a document holds at least `similarity` of the n windows of an
+    item's form. windows: doc_id, text_hash, w; items: item_id, form, w, n, each window once."""
+    asked = items.select("w").distinct()
+    few = asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    seen = written(windows.join(F.broadcast(asked) if few else asked, "w", "left_semi").groupBy("doc_id", "text_hash", "w").agg(F.lit(1).alias("one")).drop("one"), "seen")
+    often = items.join(seen.groupBy("w").agg(F.count("*").alias("df")), "w", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = F.row_number().over(Window.partitionBy("item_id", "form").orderBy("df", "w"))
+    rare = often.withColumn("place", rarest).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity) + 1).filter("df > 0").select("item_id", "form", "n", "w")
+    met = written(seen.join(written(rare, "rare"), "w").select("doc_id", "text_hash", "item_id", "form", "n").distinct(), "met")
+    all_of = met.join(items.select(F.col("item_id").alias("i"), F.col("form").alias("f"), "w"), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("form") == F.col("f"))).drop("i", "f")
+    held = seen.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("w").alias("v"))
+    both = all_of.join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("w") == F.col("v")))
+    hits = both.groupBy("doc_id", "text_hash", "item_id", "form", "n").agg(F.count("*").alias("hits"))
     return hits.filter(F.col("hits") >= F.col("n") * similarity)
 
 
 def _placed_rows(df: DataFrame, keys: list[str], every: bool) -> DataFrame:
     """keys, form, length (words of the text), pos, w, and the slot values of each window: struct(kind, place in the window, value).
     df: keys and text. every: all windows of the second reading, else those that the first does not have."""
-    base = readings(df.select(*keys, "text", _split(valued(F.col("text"))).alias("v")), [*keys, "v"], F.col("text"))
+    base = readings(df.select(*keys, "text", _split(_single_blanks(valued(F.col("text")))).alias("v")), [*keys, "v"], F.col("text"))
     base = base.filter(F.size("t") == F.size("v"))
     t, u, v = F.col("t"), F.col("u"), F.col("v")
     one = lambda form, c: lambda i: F.struct(
-        F.lit(form).alias("form"), i.alias("pos"), F.xxhash64(*[F.xxhash64(F.get(c, i + k)) for k in range(WORDS)]).alias("w"),
+        F.lit(form).alias("form"), i.alias("pos"), _window_hash(c, i).alias("w"),
         F.filter(F.array(*[F.struct(F.get(c, i + k).alias("kind"), F.lit(k).alias("place"), F.get(v, i + k).alias("value")) for k in range(WORDS)]), lambda x: is_slot(x["kind"])).alias("slots"),
     )
     windows = F.concat(F.transform(_starts(t), one(0, t)), F.transform(_starts(u) if every else _other_starts(t, u), one(1, u)))
@@ -194,12 +209,13 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
     """doc_id, text_hash, item_id, n_windows, n_hit, coverage, n_slots, n_consistent for each contaminated pair."""
     docs = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     items = written(item_windows(benchmark, item_col, item_text_col), "item-windows")
-    pairs = written(candidates(docs, items, similarity), "contaminated")
+    windows = each_window(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), ["doc_id", "text_hash"], F.col("text"))
+    pairs = written(held_pairs(windows, items, similarity), "contaminated")
     keys = pairs.select("doc_id", "text_hash").distinct()
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
     suspects = hashed.join(keys, hashed.doc_id.eqNullSafe(keys.doc_id) & (hashed.text_hash == keys.text_hash), "left_semi").dropDuplicates(["doc_id", "text_hash"])
     asked = items.select("w").distinct()
-    doc_rows = _placed_rows(suspects, ["doc_id", "text_hash"], every=False).join(F.broadcast(asked) if _small(items) else asked, "w", "left_semi")
+    doc_rows = _placed_rows(suspects, ["doc_id", "text_hash"], every=False).join(asked, "w", "left_semi")
     item_rows = _placed_rows(benchmark.select(F.col(item_col).alias("item_id"), text_or_empty(item_text_col).alias("text")), ["item_id"], every=True).dropDuplicates()
     a, b, p = doc_rows.alias("a"), item_rows.alias("b"), pairs.alias("p")
     met = p.join(b, F.col("p.item_id").eqNullSafe(F.col("b.item_id")) & (F.col("p.form") == F.col("b.form"))).join(a, F.col("a.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("a.text_hash") == F.col("p.text_hash")) & (F.col("a.w") == F.col("b.w")))
@@ -216,7 +232,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
     joined = p.join(judged, F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("p.text_hash") == F.col("s.text_hash")) & F.col("p.item_id").eqNullSafe(F.col("s.item_id")) & (F.col("p.form") == F.col("s.form")), "left")
     kept = joined.filter(F.col("s.text_hash").isNull() | F.col("s.best").isNotNull())  # without rows to judge, the windows decide
     found = kept.select("p.doc_id", "p.text_hash", "p.item_id", "p.form", F.col("p.n").cast("long").alias("n"), F.coalesce("s.best.hits", "p.hits").alias("hits"), F.coalesce("s.best.n_slots", F.lit(0)).alias("n_slots"), F.coalesce("s.best.n_consistent", F.lit(0)).alias("n_consistent"))
-    literal = literal_pairs(docs, benchmark, similarity, item_col, item_text_col)
+    literal = literal_pairs(docs, benchmark, items, similarity, item_col, item_text_col)
     if literal is not None:
         found = found.unionByName(literal.select(*pair, F.lit(2).alias("form"), F.col("n").cast("long").alias("n"), "hits", F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_consistent")))
     first = found.groupBy(*pair).agg(F.min(F.struct("form", "n", "hits", "n_slots", "n_consistent")).alias("x"))
