@@ -3,8 +3,9 @@
 Overlapping heuristic labellers vote good, bad or nothing on each document. Expectation-maximisation estimates from
 all documents how accurate each labeller is for good and for bad documents: documents with equal votes are counted
 together, so the driver sees at most 3 ** labellers patterns, whatever the corpus. The posteriors then label a
-bounded sample (`sample`, drawn by a hash of the text), on which a linear scorer over hashed features is trained. The
-scorer reads every whole text. Gold labels are never read.
+bounded sample of `sample` distinct texts, those of the smallest hashes, so that runs agree and a text that many rows
+share is drawn once, with their number as its weight. A linear scorer is trained on it, over hashed features: shapes and
+endings of words, and the labellers' figures in steps. The scorer reads every whole text. Gold labels are never read.
 
 Defined results: null and blank texts have no votes and no features, their score is the scorer's intercept and they
 are rejected; ids may be null or repeat; an empty table gives no rows; other columns are left alone.
@@ -32,6 +33,7 @@ SIGNS = "#$%&*|<>{}=~^\\@_+"
 TAIL = frozenset(SIGNS)
 BITS = 16
 SAMPLE = 20_000
+ENDING, ENDING_SHARE = 3, 0.5  # letters, and the length of their part of the features
 #: By class, shares of the votes bad and good that a labeller is presumed to cast.
 PRESUMED = {BAD: (0.4, 0.6), GOOD: (0.005, 0.995)}
 SCHEMA = "doc_id long, score double, posterior double, accepted boolean"
@@ -129,13 +131,18 @@ RUN = re.compile(r"(.)\1+")
 
 
 def features(text: str, m: dict[str, float], shapes: _Shapes) -> dict[int, float]:
-    """Hashed features: shares of word shapes, and the figures in steps."""
+    """Hashed features: endings of words, shares of word shapes, and the figures in steps."""
     if not m["n"]:
         return {}
+    out: dict[int, float] = {}
+    endings = Counter([w[-ENDING:] for w in text.split()])
+    scale = ENDING_SHARE / max(1, len(endings)) ** 0.5
+    for ending in endings:
+        h = crc32(b"e" + ending.encode()) & ((1 << BITS) - 1)
+        out[h] = out.get(h, 0.0) + scale
     found: Counter[str] = Counter()
     for shape, n in Counter(text.translate(shapes).split()).items():
-        found[RUN.sub(r"\1", shape)[:12]] += n
-    out: dict[int, float] = {}
+        found[RUN.sub(r"\1", shape)[:12]] += n  # words of one shape differ little beyond
     for shape, n in found.items():
         h = crc32(b"s" + shape.encode()) & ((1 << BITS) - 1)
         out[h] = out.get(h, 0.0) + n / m["n"]
@@ -146,23 +153,21 @@ def features(text: str, m: dict[str, float], shapes: _Shapes) -> dict[int, float
     return out
 
 
-def train(rows: list[tuple[dict[int, float], float]], steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
+def train(keys: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int = 200, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
     """Weights of a logistic scorer for soft labels (the last is the intercept), by full-batch AdaGrad."""
-    lens = [len(f) for f, _ in rows]
-    col = np.fromiter((k for f, _ in rows for k in f), np.int64, sum(lens))
-    val = np.fromiter((x for f, _ in rows for x in f.values()), float, sum(lens))
-    row = np.repeat(np.arange(len(rows)), lens)
-    y = np.array([p for _, p in rows])
+    col, val = np.concatenate(keys).astype(np.int64), np.concatenate(values).astype(float)
+    row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    share = weight / weight.sum()
     used, col = np.unique(col, return_inverse=True)
     w, b, gw, gb = np.zeros(len(used)), 0.0, np.full(len(used), 1e-8), 1e-8
     for _ in range(steps):
-        z = b + np.bincount(row, val * w[col], len(rows))
-        err = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.bincount(col, val * err[row], len(used)) / len(rows) + decay * w
+        z = b + np.bincount(row, val * w[col], len(y))
+        err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * share
+        g = np.bincount(col, val * err[row], len(used)) + decay * w
         gw += g * g
-        gb += err.mean() ** 2
+        gb += err.sum() ** 2
         w -= rate * g / np.sqrt(gw)
-        b -= rate * err.mean() / np.sqrt(gb)
+        b -= rate * err.sum() / np.sqrt(gb)
     out = np.zeros((1 << BITS) + 1)
     out[used], out[-1] = w, b
     return out
@@ -183,15 +188,15 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = _Shapes()
-        for _, (texts,) in arrow_rows(batches, "text"):
+        for batch, (texts,) in arrow_rows(batches, "text"):
             keys, values, patterns = [], [], []
             for t in texts:
                 m = measures(t)
                 f = features(t, m, shapes)
-                keys.append(list(f))
-                values.append(list(f.values()))
+                keys.append(np.fromiter(f, np.int32, len(f)).tobytes())
+                values.append(np.fromiter(f.values(), np.float32, len(f)).tobytes())
                 patterns.append("".join(map(str, votes(m))))
-            yield pa.RecordBatch.from_pydict({"keys": pa.array(keys, pa.list_(pa.int32())), "vals": pa.array(values, pa.list_(pa.float64())), "pattern": pa.array(patterns, pa.string())})
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(values, pa.binary()), pa.array(patterns, pa.string())], names=["h", "n", "keys", "vals", "pattern"])
 
     texts = docs.select(text_or_empty(text_col).alias("text"))
     counted = texts.mapInArrow(vote, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
@@ -199,15 +204,23 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[
     if not patterns:
         return 0.5, np.ones((2, LABELLERS, 3)), np.zeros((1 << BITS) + 1)
     share, table = estimate(patterns)
-    rate = min(1.0, sample / sum(patterns.values()))
-    drawn = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1)
-    rows = drawn.mapInArrow(featured, "keys array<int>, vals array<double>, pattern string").limit(2 * sample).collect()
+    hashed = texts.select(F.xxhash64("text").alias("h"), "text")
+    place = F.struct(F.pmod("h", F.lit(1 << 30)).alias("place"), "h")
+    for within in (int(min(1.0, 2 * sample / sum(patterns.values())) * (1 << 30)) + 1, 1 << 30):  # all, if few texts are distinct
+        near = hashed.filter(F.pmod("h", F.lit(1 << 30)) < within)
+        last = near.select(place.alias("at")).distinct().orderBy("at").limit(sample).agg(F.max("at").alias("at"), F.count("*").alias("n")).first()
+        if last["n"] == sample:
+            break
+    drawn = near.filter(place <= F.struct(F.lit(last["at"]["place"]).cast("long").alias("place"), F.lit(last["at"]["h"]).cast("long").alias("h")))
+    distinct = drawn.groupBy("h").agg(F.count("*").alias("n"), F.first("text").alias("text"))
+    rows = distinct.select("h", "n", "text").mapInArrow(featured, "h long, n long, keys binary, vals binary, pattern string").collect()  # at most `sample`
+    rows.sort(key=lambda r: r["h"])
     labels = posterior(np.array([list(map(int, r["pattern"])) for r in rows]), share, table)
-    return share, table, train([(dict(zip(r["keys"], r["vals"], strict=True)), p) for r, p in zip(rows, labels.tolist(), strict=True)])
+    return share, table, train([np.frombuffer(r["keys"], np.int32) for r in rows], [np.frombuffer(r["vals"], np.float32) for r in rows], labels, np.array([r["n"] for r in rows], float))
 
 
 def score_documents(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, posterior, accepted, and text_hash to tell rows of one id apart."""
+    """doc_id, score, posterior and accepted of every document."""
     share, table, weights = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # half a megabyte, whatever the corpus
 
