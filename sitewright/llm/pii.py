@@ -5,10 +5,11 @@ At each anchor a local parser grows the span to both sides and checks it: no par
 that may belong to its span, so the work stays in proportion to the text, whatever it holds.
 
 Base kinds are the leftmost spans of the documented patterns, without overlap in their kind; a span whose check fails
-is dropped and takes its characters with it. The anchors add four kinds that the patterns alone do not see: `tel`
-(number after the scheme tel:), `iban` and `ssn` (after their cue, with valid form or check digits), and `login`
-(user and password of a URL). Cues and accounts are read in small and capital letters alike; an account ends at a
-word's end where its check digits hold, whatever words follow: at its country's length, else at the last such end. Offsets count code points, ends are exclusive.
+is dropped and takes its characters with it. The anchors add kinds that the patterns alone do not see: `tel` (number after
+the scheme tel: or a cue such as phone:), `iban`, `ssn`, `routing` and `account` (after a cue in one of four languages,
+with valid form, and check digits where there are any), and `login` (user and password of a URL). Cues and accounts are
+read in small and capital letters alike; an IBAN ends at a word's end where its check digits hold, whatever words
+follow: at its country's length, else at the last such end. Offsets count code points, ends are exclusive.
 
 Defined results: a null text is empty and has no spans; ids may be null or repeat; each row is judged by itself;
 an empty table gives no rows; other columns are left alone.
@@ -17,7 +18,6 @@ an empty table gives no rows; other columns are left alone.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import re
 from collections.abc import Iterator
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("tel", "iban", "ssn", "login")
+ADDED_KINDS = ("tel", "iban", "ssn", "login", "account", "routing")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -42,7 +42,18 @@ TEL = re.compile(r"[ \t]{0,3}([0-9](?:[().-]?[0-9]){6,14})(?![0-9])")
 IBAN = re.compile(r"[\s:#=]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})", re.I | re.A)
 SSN = re.compile(r"[\s:#=]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
 LOGIN = re.compile(r"[^\s/@:?#]+:[^\s/@?#]+(?=@)")
-CUES = {"://": "login", "tel:": "tel", "iban": "iban", "ssn": "ssn"}
+GAP = r"[\s.:#=]{0,3}(?:(?:no|nr|num|number|nummer)\b[\s.:#=]{0,3})?"
+ACCOUNT = re.compile(GAP + r"([0-9](?:[ -]?[0-9]){5,17})(?![0-9])", re.I | re.A)
+ROUTING = re.compile(GAP + r"([0-9]{9})(?![0-9])", re.I | re.A)
+CUES = {
+    "login": ("://",),
+    "tel": ("tel:", "phone:", "mobile:", "fax:", "telefon:", "tél:", "téléphone:", "teléfono:"),
+    "iban": ("iban",),
+    "ssn": ("ssn", "social security number", "social security no"),
+    "account": ("account number", "account no", "acct", "a/c", "kontonummer", "konto-nr", "numéro de compte", "número de cuenta"),
+    "routing": ("routing number", "routing no", "aba no", "aba number"),
+}
+SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZÉÚ", "abcdefghijklmnopqrstuvwxyzéú")  # keeps all offsets
 
 
 #: Characters of an account by country.
@@ -52,12 +63,7 @@ LENGTHS = {c: int(n) for c, n in (x.split(":") for x in (
 ).split())}
 
 
-def spellings(cue: str) -> list[str]:
-    """The cue in every mix of small and capital letters."""
-    return ["".join(x) for x in itertools.product(*(sorted({c, c.upper()}) for c in cue))]
-
-
-ANCHORS = {x: kind for cue, kind in CUES.items() for x in spellings(cue)}
+ANCHORS = {cue: kind for kind, cues in CUES.items() for cue in cues}
 
 
 def luhn(digits: str) -> bool:
@@ -73,6 +79,10 @@ def iban_ok(text: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def routing_ok(digits: str) -> bool:
+    return sum(int(d) * w for d, w in zip(digits, (3, 7, 1) * 3, strict=True)) % 10 == 0 and digits != "000000000"
+
+
 def iban_end(text: str, start: int, end: int) -> int | None:
     """The end of a valid account that begins at start, at the end of a word: of its country's length, else the longest."""
     ends = [at for at in range(end, start + 14, -1) if text[at - 1] != " " and not (at < len(text) and text[at].isascii() and text[at].isalnum())]
@@ -93,7 +103,7 @@ class Finder:
     def spans(self, text: str) -> dict[str, list[tuple[int, int]]]:
         found: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE_KINDS, *ADDED_KINDS)}
         email_end = ip_end = card_end = phone_end = 0
-        for last, sign in self.anchors.iter(text):
+        for last, sign in self.anchors.iter(text.translate(SMALL)):
             if "0" <= sign <= "9":
                 if last >= card_end:
                     card_end = last + 1
@@ -126,14 +136,21 @@ class Finder:
         return found
 
     def _cue(self, text: str, at: int, kind: str, found: dict) -> None:
+        span = None
         if kind == "tel" and (m := TEL.match(text, at)):
-            found["tel"].append(m.span(1))
+            span = m.span(1)
         elif kind == "iban" and (m := IBAN.match(text, at)) and (end := iban_end(text, m.start(1), m.end(1))):
-            found["iban"].append((m.start(1), end))
+            span = (m.start(1), end)
         elif kind == "ssn" and (m := SSN.match(text, at)):
-            found["ssn"].append(m.span(1))
+            span = m.span(1)
         elif kind == "login" and (m := LOGIN.match(text, at)):
-            found["login"].append(m.span())
+            span = m.span()
+        elif kind == "account" and (m := ACCOUNT.match(text, at)):
+            span = m.span(1)
+        elif kind == "routing" and (m := ROUTING.match(text, at)) and routing_ok(m[1]):
+            span = m.span(1)
+        if span and (not found[kind] or found[kind][-1][1] <= span[0]):  # two cues may lead to one span
+            found[kind].append(span)
 
 
 def listed(found: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> str:
