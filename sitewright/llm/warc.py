@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, written
 
 PIECE = 64 * 1024
+STREAMED = ("file", "s3", "gs")  # stores that pyarrow opens without further set-up
 EPOCH = "1970-01-01T00:00:00Z"
 HEX_TO_B32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 ROWS_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -221,15 +223,32 @@ def _open_ended(parts: list[bytes]) -> bytes:
     return data if data[-1] else data[:-1]
 
 
+def streamed(path: str) -> Iterator[bytes]:
+    """A file's bytes in pieces, none of which is kept."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    with store.open_input_stream(at) as file:
+        while piece := file.read(PIECE):
+            yield piece
+
+
 def read_archives(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
-    """One row for each response or revisit record of the archives in a folder. An archive is one task's work; Spark
-    hands over archives of up to 2 GB whole, their records are decompressed one at a time."""
+    """One row for each response or revisit record of the archives in a folder. An archive is one task's work, and its
+    records are decompressed one at a time. Where workers can open the store themselves (STREAMED), archives of any size
+    are read in pieces; elsewhere Spark hands over archives of up to 2 GB whole."""
+    files = spark.read.format("binaryFile").load(path)
+    store = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    by_name = store.getScheme() in STREAMED
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                view = memoryview(content.as_buffer())
-                pieces = (bytes(view[i : i + PIECE]) for i in range(0, len(view), PIECE))
+            for archive in batch.column(0):
+                if by_name:
+                    pieces = streamed(archive.as_py())
+                else:
+                    view = memoryview(archive.as_buffer())
+                    pieces = (bytes(view[i : i + PIECE]) for i in range(0, len(view), PIECE))
                 rows = []
                 for record in read_records(pieces, verify):
                     h = record.headers
@@ -242,7 +261,7 @@ def read_archives(spark: SparkSession, path: str, verify: bool = True) -> DataFr
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, ROWS_SCHEMA)
+    return files.select("path" if by_name else "content").mapInArrow(unpack, ROWS_SCHEMA)
 
 
 def round_trip(pages: DataFrame, path: str | None = None, **columns: str) -> DataFrame:
