@@ -389,3 +389,33 @@ def test_exact_merges_any_number_of_runs(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
         got = exact_dedup.exact_groups(docs).collect()
         assert {r.id: (r.keep_id, r.group_size, r.kept) for r in got} == {i: (min(g)[1], len(g), min(g)[1] == i) for g in want.values() for _, i in g}
+
+
+def test_pii_added_kinds_are_all_found(spark):
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def routing():
+        while not pii.routing_ok(d := digits(9)):
+            pass
+        return d
+
+    def iban():
+        country = rng.choice(sorted(pii.LENGTHS))
+        body = digits(pii.LENGTHS[country] - 4)
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        code = f"{country}{check:02d}{body}"
+        return " ".join(code[i : i + 4] for i in range(0, len(code), 4)) if rng.random() < 0.5 else code
+
+    made = {
+        "tel": lambda: rng.choice("23456789") + digits(9), "iban": iban, "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "login": lambda: f"user{digits(2)}:pw{digits(3)}", "account": lambda: digits(rng.randrange(6, 13)), "routing": routing,
+    }
+    finder = pii.Finder()
+    for kind, make in made.items():
+        for cue in pii.CUES[kind]:
+            for shown in (cue, cue.upper(), cue.title()):
+                value = make()
+                before, after = f"words 12 and {shown}" + rng.choice(["", " "] if kind != "login" else [""]), "@host/x" if kind == "login" else rng.choice([", then", " then words", "."])
+                found = finder.spans(before + value + after)[kind]
+                assert [(before + value + after)[a:b] for a, b in found] == [value], (kind, before + value + after)
