@@ -39,6 +39,12 @@ def weight_for(url: Column, weights: dict[str, float]) -> Column:
     return F.coalesce(out, F.lit(1.0))
 
 
+def effective_weight(url: Column, own: Column, weights: dict[str, float]) -> Column:
+    """A page's own weight, else the configured one; 0 if either says that the page is left out."""
+    config = weight_for(url, weights)
+    return F.when(config == 0, F.lit(0.0)).otherwise(F.coalesce(own.cast("double"), config))
+
+
 @dataclass(frozen=True)
 class RobotsRules:
     disallow: tuple[str, ...] = ()
@@ -46,7 +52,8 @@ class RobotsRules:
 
 
 def parse_robots(content: str, agent: str) -> RobotsRules:
-    """The rules of the agent's own group if it has any, else those of *. Agent lines in a row share a group."""
+    """The rules of the agent's own group if it has any that say something, else those of *. Agent lines in a row share a
+    group; a rule without a value says nothing."""
     groups: dict[str, list[tuple[str, str]]] = {}
     agents: list[str] = []
     open_ = False
@@ -61,10 +68,10 @@ def parse_robots(content: str, agent: str) -> RobotsRules:
             groups.setdefault(value.lower(), [])
         elif name in ("allow", "disallow"):
             open_ = False
-            for a in agents:
+            for a in agents if value else ():
                 groups[a].append((name, value))
     rules = groups.get(agent.lower()) or groups.get("*", [])
-    return RobotsRules(*(tuple(v for n, v in rules if n == kind and v) for kind in ("disallow", "allow")))
+    return RobotsRules(*(tuple(v for n, v in rules if n == kind) for kind in ("disallow", "allow")))
 
 
 def blocked_by_robots(path: Column, rules: RobotsRules) -> Column:

@@ -43,10 +43,11 @@ def anchor_rollup(links: DataFrame, length: int = ANCHOR_LENGTH) -> DataFrame:
 
 def reach(links: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
     """url and least depth of all that can be reached from seeds (url), wave by wave over a shrinking frontier."""
-    edges = links.select(F.col("src_url").alias("url"), "dst_url").distinct().cache()
+    checkpoints = links.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()  # spark.checkpoint.dir sets it
+    edges = links.select(F.col("src_url").alias("url"), "dst_url").distinct()
+    edges = edges.checkpoint() if checkpoints else edges
     seen = seeds.select("url", F.lit(0).alias("depth")).distinct()
     frontier, parts = seen, seen
-    checkpoints = links.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     for depth in range(1, max_depth + 1):
         found = frontier.join(edges, "url").select(F.col("dst_url").alias("url")).distinct()
         frontier = found.join(parts.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))

@@ -6,21 +6,22 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import chunking, components, html, markdown
 from ..functions import scalars as S
 
-EXTRACT_SCHEMA = "url string, status string, reason string, title string, markdown string, description string, keywords array<string>, tags array<string>, links array<struct<url:string,anchor_text:string>>, weight double, published_at string"
+EXTRACT_SCHEMA = "url string, status string, reason string, title string, markdown string, description string, keywords array<string>, tags array<string>, links array<struct<url:string,anchor_text:string>>, weight double, published_at string, meta map<string,struct<kind:string,raw:string>>"
 CHUNK_SCHEMA = "url string, ordinal int, section string, level int, path array<string>, text string"
+SUMMARY = "__summary__"  # fixed value: the heading that stands for a page as a whole
 MARKDOWN_SCHEMA = "url string, status string, reason string, title string, markdown string, description string, keywords array<string>, tags array<string>, weight double, published_ms long, meta map<string,string>"
 COMPONENT_SCHEMA = "path string, markdown string, is_component boolean, description string, props array<struct<name:string,type:string,default:string>>"
 
 
 def _schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
 
@@ -32,7 +33,7 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [{"url": u} | html.extract(u or "", h, main, drop) for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            yield pa.RecordBatch.from_pylist([r | {"meta": list(r["meta"].items())} for r in rows], schema=schema)
 
     return pages.select(F.col(url_col), F.col(html_col)).mapInArrow(run, EXTRACT_SCHEMA)
 
@@ -49,6 +50,66 @@ def chunk_pages(pages: DataFrame, url_col: str = "url", markdown_col: str = "mar
     return pages.select(F.col(url_col).cast("string"), F.col(markdown_col)).mapInArrow(run, CHUNK_SCHEMA)
 
 
+def index_chunks(pages: DataFrame, summary: bool = True, **options: int) -> DataFrame:
+    """The chunks of pages as they are stored: url, ordinal, section, level, path, text, nth, chunk_key, content_hash,
+    snippet, and the pages' other columns but their markdown and content_hash.
+
+    With `summary` each page begins with a chunk that says what it is about. Keys tell chunks by what they say; equal ones
+    of a page are counted. Hashes cover the text to embed, the metadata and whether the page is a custom one. pages: url,
+    title, markdown, description, keywords, custom, meta.
+    """
+    kept = [f for f in pages.schema.fields if f.name not in ("url", "markdown", "content_hash", "snippet")]
+    carried = pages.select(F.col("url").cast("string").alias("url"), F.col("markdown"), *[f.name for f in kept])
+    raw = _schema(CHUNK_SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, of = [], []
+            for i, (u, m) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                found = chunking.chunks(m or "", **options)
+                if summary:
+                    found = [{"section": None, "level": None, "path": [SUMMARY], "text": chunking.first_paragraph(m or "")}, *found]
+                rows += [{"url": u, "ordinal": k} | c for k, c in enumerate(found)]
+                of += [i] * len(found)
+            own = pa.RecordBatch.from_pylist(rows, schema=raw)
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([*own.columns, *(batch.column(k).take(at) for k in range(2, batch.num_columns))], names=[*raw.names, *batch.schema.names[2:]])
+
+    schema = StructType([*StructType.fromDDL(CHUNK_SCHEMA).fields, *kept])
+    chunks = carried.mapInArrow(run, schema)
+    about = F.col("path") == F.array(F.lit(SUMMARY))
+    said = summary_text(F.col("title"), F.col("url"), F.col("description"), F.col("text"), F.col("keywords"))
+    text = F.left(F.when(about, said).otherwise(F.col("text")), F.lit(S.CHUNK_TEXT_LENGTH))
+    cleaned = F.transform("path", lambda h: F.lower(S.trim_blanks(h)))
+    nth = F.row_number().over(Window.partitionBy("url", cleaned, F.sha1("text")).orderBy("ordinal")) - 1
+    chunks = chunks.withColumn("about", about).withColumn("text", text).withColumn("nth", nth)
+    key = S.chunk_key(F.col("url"), F.col("path"), F.when(F.col("about"), F.lit(SUMMARY)).otherwise(F.col("text")), F.col("nth"))
+    meta = F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("meta")))), F.lit(""))
+    origin = F.when(F.coalesce("custom", F.lit(False)), "custom").otherwise("site")
+    digest = F.sha2(F.concat(S.normalize_text(S.embedding_text(F.col("title"), F.col("section"), F.col("text"))), meta, origin), 256)
+    return chunks.withColumn("chunk_key", key).withColumn("content_hash", digest).withColumn("snippet", S.snippet(F.col("text"))).withColumn("path", F.when(F.col("about"), F.array().cast("array<string>")).otherwise(F.col("path"))).drop("about")
+
+
+def summary_text(title: Column, url: Column, description: Column, lead: Column, keywords: Column) -> Column:
+    """Title, readable path, description or first paragraph, keywords; empty parts are left out."""
+    filled = lambda c: F.when(c != "", c)
+    return F.concat_ws("\n\n", title, filled(S.humanize_url_path(url)), filled(F.coalesce(description, lead)), filled(F.array_join(keywords, ", ")))
+
+
+def embedding_title(title: Column, section: Column, path: Column) -> Column:
+    """Title, then the headings above the text, or its section where there are none."""
+    return F.concat_ws(" > ", title, F.when(F.size(path) > 0, F.array_join(path, " > ")).otherwise(F.when(section != "", section)))
+
+
+def reassembled(chunks: DataFrame, key: str = "url", order: str = "ordinal", text: str = "text", title: Column | None = None) -> DataFrame:
+    """key and markdown: the texts of a page's chunks in order, without the title that embedding put before them."""
+    own = F.col(text)
+    if title is not None:
+        own = F.when(F.startswith(own, F.concat(title, F.lit("\n\n"))), F.substring(own, F.length(title) + 3, F.length(own))).otherwise(own)
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), own.alias("text"))))
+    return chunks.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n\n").alias("markdown"))
+
+
 def extract_markdown(files: DataFrame, url_col: str = "url", markdown_col: str = "markdown", prefix: str = "search") -> DataFrame:
     """One row a markdown file, whatever becomes of it: indexed, excluded or failed."""
     schema = _schema(MARKDOWN_SCHEMA)

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import scalars as S
 
@@ -80,6 +81,20 @@ def measures(ranked: DataFrame, k: int) -> DataFrame:
     return out.select("qid", "reciprocal_rank", "precision", F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"))
 
 
+def assertions(ranked: DataFrame, expected: DataFrame) -> DataFrame:
+    """qid, kind and passed, a row for each thing that is expected of a query's results. ranked: qid, url, rank from 1;
+    expected: qid, top_result, in_top_5 (an array) and max_results, each null where nothing is expected."""
+    first = F.max(F.when(F.col("rank") == 1, F.col("url"))).alias("top")
+    seen = ranked.groupBy("qid").agg(first, F.collect_set(F.when(F.col("rank") <= 5, F.col("url"))).alias("best"), F.count("*").alias("n"))
+    both = expected.join(seen, "qid", "left").withColumn("best", F.coalesce("best", F.array().cast(ArrayType(ranked.schema["url"].dataType))))
+    tests = F.array(
+        F.when(F.col("top_result").isNotNull(), F.struct(F.lit("top_result").alias("kind"), F.coalesce(F.col("top") == F.col("top_result"), F.lit(False)).alias("passed"))),
+        F.when(F.col("in_top_5").isNotNull(), F.struct(F.lit("in_top_5").alias("kind"), (F.size(F.array_except("in_top_5", "best")) == 0).alias("passed"))),
+        F.when(F.col("max_results").isNotNull(), F.struct(F.lit("max_results").alias("kind"), (F.coalesce("n", F.lit(0)) <= F.col("max_results")).alias("passed"))),
+    )
+    return both.select("qid", F.explode(F.filter(tests, lambda t: t.isNotNull())).alias("t")).select("qid", "t.kind", "t.passed")
+
+
 def with_sections(ranked: DataFrame, sections: DataFrame, key: str, score: str, tie: str, expanded: int = 10, most: int = 5) -> DataFrame:
     """Adds best sections to ranked rows (key, rank): the first `most` of each of the `expanded` best rows, by score;
     rows further down, and rows without sections, have one row with null in the columns of sections. The expanded keys

@@ -28,7 +28,7 @@ QUERIES = {
     "html_extract": lambda s, d: P.extract_pages(table(s, d, "pages"), main="article").select("url", "status", "title", F.length("markdown").alias("n")),
     "page_links": lambda s, d: P.extract_pages(table(s, d, "pages"), drop=("script", "style")).select("url", F.explode("links").alias("l")).select("url", F.col("l.url").alias("dst_url"), F.col("l.anchor_text").alias("anchor_text")),
     "src_pages": lambda s, d: P.extract_pages(table(s, d, "pages")).groupBy("status").agg(F.count("*").alias("n")),
-    "heading_sections": lambda s, d: P.chunk_pages(_headed(s, d)).filter("ordinal = 0").select("url", "section", "level"),
+    "heading_sections": lambda s, d: P.chunk_pages(_headed(s, d)).select("url", "section", "level").distinct(),
     "chunk_count_by_doc": lambda s, d: P.chunk_pages(_headed(s, d)).groupBy("url").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest")),
     "hybrid_search": _hybrid,
     "session_counts": lambda s, d: W.session_counts(table(s, d, "events"), "user_id", "ts"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import diff, links as L, ranking as R
+from ..operators import diff, index as I, links as L, pages as G, ranking as R, retrieval, search as H
 from .base import DEPTH_SQL, PAGES_SQL, site_pages, table
 from .scalar_queries import BLANK, LINKS_SQL, links as page_links
 
@@ -45,28 +45,57 @@ def _current(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").filter("doc_id % 11 <> 0").select("doc_id", F.sha1("text").alias("content_hash"))
 
 
-def _knn(s: SparkSession, d: str, k: int = 10) -> DataFrame:
+def _vectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and those whose id divides by 20 as queries."""
     e = table(s, d, "embeddings")
-    q = e.filter("vec_id = 0").select(F.col("embedding").alias("q"))  # one row
-    return e.filter("vec_id <> 0").join(F.broadcast(q)).select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v"))
+
+
+def _knn(s: SparkSession, d: str, k: int = 10) -> DataFrame:
+    scored = retrieval.dense(*_vectors(s, d)).filter("id <> qid").withColumn("score", F.round("score", 6))
+    return retrieval.top(scored, k).select("qid", F.col("id").alias("vec_id"), "score")
 
 
 def _judged(s: SparkSession, d: str) -> DataFrame:
-    """Queries are the first ten vectors, ranked are the others, relevant those of the same label."""
-    e = table(s, d, "embeddings")
-    q = e.filter("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
-    scored = e.filter("vec_id >= 10").crossJoin(F.broadcast(q)).select("qid", "vec_id", F.round(S.cosine(F.col("embedding"), F.col("q")), 6).alias("score"), (F.col("label") == F.col("q_label")).cast("int").alias("relevance"))
+    """Queries are the vectors whose id divides by 20, ranked are all others, relevant those of the same label."""
+    labels = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    asked = labels.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("label").alias("q_label"))
+    scored = retrieval.dense(*_vectors(s, d)).filter("id <> qid").join(labels, "id").join(asked, "qid")
+    scored = scored.select("qid", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), (F.col("label") == F.col("q_label")).cast("int").alias("relevance"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")))
 
 
+def _asserted(s: SparkSession, d: str) -> DataFrame:
+    """Even queries expect their first result, odd ones their second, all of them their third and, of some, the tenth."""
+    ranked = _judged(s, d).select("qid", F.col("vec_id").alias("url"), "rank")
+    at = lambda n: F.max(F.when(F.col("rank") == n, F.col("url")))
+    picked = ranked.groupBy("qid").agg(at(1).alias("a"), at(2).alias("b"), at(3).alias("c"), at(10).alias("d"), F.count("*").alias("n"))
+    even, third = F.col("qid") % 40 == 0, F.col("qid") % 60 == 0
+    expected = picked.select("qid", F.when(even, F.col("a")).otherwise(F.col("b")).alias("top_result"), F.when(third, F.array("c")).otherwise(F.array("c", "d")).alias("in_top_5"), F.when(~third, F.col("n") - F.when(even, 0).otherwise(1)).alias("max_results"))
+    return R.assertions(ranked, expected)
+
+
 def _related(s: SparkSession, d: str) -> DataFrame:
-    pages = site_pages(s, d).select("page_id", "url")
-    source = pages.orderBy("page_id").limit(1).select(F.col("url").alias("from_url"), F.col("page_id").alias("from_id"))
-    linked = F.col("page_id") % 9 == 0
-    dice = S.dice_path(F.col("url"), F.col("from_url"))
-    kind = F.when(linked, "outgoing").when(dice > 0.4, "sibling").otherwise("semantic")
-    rows = pages.join(F.broadcast(source)).filter("page_id <> from_id")
-    return rows.select("page_id", F.round(0.5 * linked.cast("int") + 0.3 * dice, 6).alias("score"), kind.alias("kind")).orderBy(F.desc("score"), "page_id").limit(25)
+    """The first page's; pages link to the page of half their number, and have the vector of their number."""
+    pages = diff.dedupe_first(site_pages(s, d).select("page_id", "url", "title"), "url", "page_id")
+    half = pages.select(F.floor(F.col("page_id") / 2).alias("page_id"), F.col("url").alias("src_url"))
+    edges = half.join(pages.select("page_id", F.col("url").alias("dst_url")), "page_id")
+    vectors = pages.select("page_id", "url").join(table(s, d, "embeddings").select(F.col("vec_id").alias("page_id"), F.col("embedding").alias("v")), "page_id")
+    source = pages.orderBy("page_id").first()["url"]
+    return H.related_pages(source, pages, edges, vectors, 25)
+
+
+def _stored_docs(s: SparkSession, d: str) -> DataFrame:
+    """Documents as stored records: project, scope, kind, time of indexing and version of their layout."""
+    docs = table(s, d, "documents")
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00"))
+    return docs.select("doc_id", F.col("lang").alias("project_id"), F.col("source").alias("scope_name"), F.when(F.col("doc_id") % 2 == 0, "page").otherwise("chunk").alias("kind"), F.when(F.col("doc_id") % 5 == 0, "never").otherwise(day).alias("indexed_at"), F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, 0).otherwise(1).alias("schema_version"))
+
+
+def _public(s: SparkSession, d: str) -> DataFrame:
+    section = F.struct(F.col("title").alias("section_title"), F.col("url").alias("chunk_text"))
+    shown = H.public(_hits(s, d).select("page_id", "url", "depth", F.lit("src/x").alias("route_file"), F.col("title").alias("chunk_text"), F.lit(1).alias("breakdown"), F.array(section, section).alias("chunks")))
+    return shown.withColumn("chunks", F.transform("chunks", lambda c: c["section_title"])).withColumn("chunks", F.array_join("chunks", "|"))
 
 
 QUERIES = {
@@ -82,11 +111,12 @@ QUERIES = {
     "run_stats": lambda s, d: diff.classify(_current(s, d), _stored(s, d), "doc_id").groupBy("status").agg(F.count("*").alias("n")),
     "deletion_ratio": lambda s, d: diff.classify(_current(s, d), _stored(s, d), "doc_id").filter("status <> 'new'").agg(F.round(F.avg((F.col("status") == "stale").cast("int")), 9).alias("ratio"), (F.avg((F.col("status") == "stale").cast("int")) <= 0.5).alias("eligible")),
     "collision_ordinal": lambda s, d: diff.collision_ordinals(table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")), ["doc_id", "line"], "pos").select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("nth").cast("long").alias("nth")),
-    "scope_inventory": lambda s, d: table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_id")),
-    "hash_manifest": lambda s, d: _stored(s, d),
-    "legacy_scan": lambda s, d: table(s, d, "documents").filter("doc_id % 3 = 0 AND source = 'src1'").groupBy("lang").agg(F.count("*").alias("n")),
-    "page_markdown": lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("markdown")),
-    "list_pages": lambda s, d: diff.dedupe_first(site_pages(s, d).select("page_id", "url"), "url", "page_id").filter("url > '/en/5'").orderBy("url").limit(50),
+    "scope_inventory": lambda s, d: I.scope_inventory(_stored_docs(s, d), "en"),
+    "hash_manifest": lambda s, d: I.inventory(_stored(s, d), "doc_id"),
+    "legacy_scan": lambda s, d: I.legacy_counts(_stored_docs(s, d), "en"),
+    "legacy_delete": lambda s, d: I.without_legacy(_stored_docs(s, d), "en").select("doc_id"),
+    "page_markdown": lambda s, d: G.reassembled(table(s, d, "conversations"), "conv_id", "turn"),
+    "list_pages": lambda s, d: I.page_after(diff.dedupe_first(site_pages(s, d).select("page_id", "url"), "url", "page_id"), "/en/5"),
     "limit_max_pages": lambda s, d: site_pages(s, d).select("url", "page_id").orderBy("url", "page_id").limit(100),
     "llms_txt_lines": lambda s, d: R.numbered(_hits(s, d).select(F.concat(F.lit("- ["), "title", F.lit("]("), "url", F.lit(")")).alias("line"), "depth", "incoming_links", "url", "page_id"), F.struct("depth", (-F.col("incoming_links")).alias("links"), "url", "page_id")).select("nth", "line"),
     "prune_scopes": lambda s, d: diff.select_stale_scopes(table(s, d, "events").groupBy("user_id").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("last_indexed_ms")).select(F.concat(F.lit("u"), "user_id").alias("scope_name"), "last_indexed_ms"), ["u1", "u2"], ["u3"], 1_800_000_000_000, 86_400_000).select("scope_name"),
@@ -101,8 +131,8 @@ QUERIES = {
     "mrr": lambda s, d: R.measures(_judged(s, d), 5).agg(F.round(F.avg("reciprocal_rank"), 9).alias("mrr")),
     "precision_at_k": lambda s, d: R.measures(_judged(s, d), 5).select("qid", F.round("precision", 9).alias("precision")),
     "ndcg_at_k": lambda s, d: R.measures(_judged(s, d), 5).select("qid", F.round("ndcg", 9).alias("ndcg")),
-    "quality_assertions": lambda s, d: _judged(s, d).filter("rank <= 5").groupBy("qid").agg(F.max(F.when(F.col("rank") == 1, F.col("relevance"))).alias("top_result"), F.max("relevance").alias("in_top_5")),
-    "public_results": lambda s, d: _hits(s, d).drop("title", "query", "score"),
+    "quality_assertions": _asserted,
+    "public_results": _public,
 }
 
 
@@ -122,7 +152,9 @@ CURRENT = "(SELECT doc_id, sha1(text) AS content_hash FROM documents WHERE doc_i
 CLASSES = f"(SELECT CASE WHEN b.doc_id IS NULL THEN 'new' WHEN a.doc_id IS NULL THEN 'stale' WHEN a.content_hash <> b.content_hash THEN 'changed' ELSE 'same' END AS status FROM {CURRENT} a FULL OUTER JOIN {STORED} b ON a.doc_id = b.doc_id)"
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 COS = f"round({DOT.format(a='a.embedding', b='q.embedding')} / sqrt({DOT.format(a='a.embedding', b='a.embedding')} * {DOT.format(a='q.embedding', b='q.embedding')}), 6)"
-JUDGED = f"(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS qid, a.vec_id, (a.label = q.label)::INTEGER AS relevance, {COS} AS score FROM embeddings a, embeddings q WHERE a.vec_id >= 10 AND q.vec_id < 10))"
+COS_EXACT = f"{DOT.format(a='a.embedding', b='q.embedding')} / sqrt({DOT.format(a='a.embedding', b='a.embedding')} * {DOT.format(a='q.embedding', b='q.embedding')})"
+JUDGED = f"(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS qid, a.vec_id, (a.label = q.label)::INTEGER AS relevance, {COS} AS score FROM embeddings a, embeddings q WHERE a.vec_id <> q.vec_id AND q.vec_id % 20 = 0))"
+STORED_DOCS = "(SELECT doc_id, lang AS project_id, source AS scope_name, CASE WHEN doc_id % 2 = 0 THEN 'page' ELSE 'chunk' END AS kind, CASE WHEN doc_id % 5 <> 0 THEN '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || 'T00:00:00' END AS read_at, doc_id % 3 <> 2 AS legacy FROM documents)"
 NODES = f"(SELECT DISTINCT node FROM (SELECT unnest(list_transform(range(0, len(p) + 1), lambda n: '/' || array_to_string(p[1:n], '/'))) AS node FROM (SELECT list_filter(string_split(url, '/'), lambda s: s <> '') AS p FROM ({PAGES_SQL}))))"
 TREE = f"(SELECT node AS url, CASE WHEN node <> '/' THEN regexp_replace(regexp_replace(node, '/[^/]*$', ''), '^$', '/') END AS parent_url FROM {NODES})"
 
@@ -142,13 +174,14 @@ SELECT dst_url AS url, string_agg(anchor, ' ' ORDER BY src_url, anchor) AS ancho
     "run_stats": f"SELECT status, count(*) AS n FROM {CLASSES} GROUP BY status",
     "deletion_ratio": f"SELECT round(avg((status = 'stale')::INTEGER), 9) AS ratio, avg((status = 'stale')::INTEGER) <= 0.5 AS eligible FROM {CLASSES} WHERE status <> 'new'",
     "collision_ordinal": "WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) - 1 AS nth FROM l",
-    "scope_inventory": "SELECT source, count(*) AS n, max(doc_id) AS last_id FROM documents GROUP BY source",
+    "scope_inventory": f"SELECT scope_name, count(*) AS documents, coalesce(max(read_at), 'unknown') AS last_indexed_at FROM {STORED_DOCS} WHERE project_id = 'en' GROUP BY scope_name",
     "hash_manifest": f"SELECT * FROM {STORED}",
-    "legacy_scan": "SELECT lang, count(*) AS n FROM documents WHERE doc_id % 3 = 0 AND source = 'src1' GROUP BY lang",
+    "legacy_scan": f"SELECT kind, count(*) AS n FROM {STORED_DOCS} WHERE project_id = 'en' AND legacy GROUP BY kind",
+    "legacy_delete": f"SELECT doc_id FROM {STORED_DOCS} WHERE NOT (project_id = 'en' AND legacy)",
     "page_markdown": "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS markdown FROM conversations GROUP BY conv_id",
     "list_pages": f"SELECT min(page_id) AS page_id, url FROM ({PAGES_SQL}) WHERE url > '/en/5' GROUP BY url ORDER BY url LIMIT 50",
     "limit_max_pages": f"SELECT url, page_id FROM ({PAGES_SQL}) ORDER BY url, page_id LIMIT 100",
-    "llms_txt_lines": f"SELECT * FROM (SELECT row_number() OVER (ORDER BY depth, incoming_links DESC, url, page_id) AS nth, '- [' || title || '](' || url || ')' AS line FROM {H_}) WHERE nth <= 500",
+    "llms_txt_lines": f"SELECT row_number() OVER (ORDER BY depth, incoming_links DESC, url, page_id) AS nth, '- [' || title || '](' || url || ')' AS line FROM {H_}",
     "prune_scopes": "SELECT 'u' || user_id AS scope_name FROM events GROUP BY user_id HAVING user_id NOT IN (1, 2, 3) AND 1800000000000 - max(epoch_ms(ts)) > 86400000",
     "boost_rank": f"SELECT page_id, round(final, 6) AS final FROM {B_}",
     "score_breakdown": f"SELECT page_id, round(base, 6) AS base, round(link_boost, 6) AS link_boost, round(depth_boost, 6) AS depth_boost, round(title_boost, 6) AS title_boost, round(final, 6) AS final FROM {B_}",
@@ -156,11 +189,18 @@ SELECT dst_url AS url, string_agg(anchor, ' ' ORDER BY src_url, anchor) AS ancho
     "min_score_ratio": f"SELECT qid, page_id FROM (SELECT *, max(final_score) OVER (PARTITION BY qid) AS top FROM {RUN_}) WHERE top <= 0 OR final_score >= top * 0.7::DOUBLE",
     "chunk_mode_rank": f"SELECT qid, page_id, final_score FROM (SELECT *, max(final_score) OVER (PARTITION BY qid) AS top FROM {RUN_}) WHERE top <= 0 OR final_score >= top * 0.9::DOUBLE",
     "score_gap_trim": f"WITH k AS (SELECT * FROM (SELECT *, max(final_score) OVER (PARTITION BY qid) AS top FROM {RUN_}) WHERE top <= 0 OR final_score >= top * 0.1::DOUBLE), g AS (SELECT *, lag(final_score) OVER (PARTITION BY qid ORDER BY final_score DESC, url) AS p FROM k), c AS (SELECT *, max(CASE WHEN p > 0 AND (p - final_score) / p >= 0.02::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY final_score DESC, url ROWS UNBOUNDED PRECEDING) AS cut FROM g) SELECT qid, page_id FROM c WHERE cut = 0",
-    "knn_cosine": f"SELECT a.vec_id, {COS} AS score FROM embeddings a, embeddings q WHERE q.vec_id = 0 AND a.vec_id <> 0 ORDER BY score DESC, vec_id LIMIT 10",
-    "related_pages": f"WITH p AS (SELECT page_id, list_filter(string_split(url, '/'), lambda s: s <> '') AS a FROM ({PAGES_SQL})), f AS (SELECT page_id AS from_id, a AS b FROM p ORDER BY page_id LIMIT 1), z AS (SELECT page_id, page_id % 9 = 0 AS linked, CASE WHEN len(a) + len(b) = 0 THEN 1::DOUBLE ELSE 2::DOUBLE * CASE WHEN len(a) = 0 OR len(b) = 0 OR a[1] <> b[1] THEN 0 WHEN len(a) > 1 AND len(b) > 1 AND a[2] = b[2] THEN 2 ELSE 1 END / (len(a) + len(b)) END AS dice FROM p, f WHERE page_id <> from_id) SELECT page_id, round(0.5::DOUBLE * linked::INTEGER + 0.3::DOUBLE * dice, 6) AS score, CASE WHEN linked THEN 'outgoing' WHEN dice > 0.4 THEN 'sibling' ELSE 'semantic' END AS kind FROM z ORDER BY score DESC, page_id LIMIT 25",
+    "knn_cosine": f"SELECT qid, vec_id, score FROM {JUDGED} WHERE rank <= 10",
+    "related_pages": f"""WITH p AS (SELECT page_id, url, title FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS n FROM ({PAGES_SQL})) WHERE n = 1), f AS (SELECT page_id, url FROM p ORDER BY page_id LIMIT 1),
+e AS (SELECT a.url AS src, b.url AS dst FROM p a JOIN p b ON b.page_id = a.page_id // 2), v AS (SELECT p.url, m.embedding FROM p JOIN embeddings m ON m.vec_id = p.page_id),
+near AS (SELECT a.url, {COS_EXACT} AS semantic FROM v a, v q WHERE q.url = (SELECT url FROM f) AND a.url <> q.url ORDER BY 2 DESC, 1 LIMIT 50),
+c AS (SELECT p.url, p.title, n.semantic, EXISTS (SELECT 1 FROM e WHERE e.src = (SELECT url FROM f) AND e.dst = p.url) AS o, EXISTS (SELECT 1 FROM e WHERE e.dst = (SELECT url FROM f) AND e.src = p.url) AS i FROM p LEFT JOIN near n ON n.url = p.url WHERE p.url <> (SELECT url FROM f)),
+z AS (SELECT *, list_filter(string_split(url, '/'), lambda s: s <> '') AS a, list_filter(string_split((SELECT url FROM f), '/'), lambda s: s <> '') AS b FROM c WHERE semantic IS NOT NULL OR o),
+k AS (SELECT *, CASE WHEN len(a) + len(b) = 0 THEN 1::DOUBLE ELSE 2::DOUBLE * coalesce(list_position(list_transform(range(1, greatest(len(a), len(b)) + 2), lambda j: a[j] IS DISTINCT FROM b[j] OR a[j] IS NULL), true) - 1, 0) / (len(a) + len(b)) END AS dice FROM z)
+SELECT url, title, round(0.5::DOUBLE * (o OR i)::INTEGER + 0.3::DOUBLE * dice + 0.2::DOUBLE * coalesce(semantic, 0), 6) AS score, CASE WHEN o THEN 'outgoing' WHEN i THEN 'incoming' WHEN dice > 0.4 THEN 'sibling' ELSE 'semantic' END AS kind FROM k ORDER BY score DESC, url LIMIT 25""",
     "mrr": f"SELECT round(avg(rr), 9) AS mrr FROM (SELECT qid, coalesce(1::DOUBLE / min(CASE WHEN relevance > 0 THEN rank END), 0) AS rr FROM {JUDGED} GROUP BY qid)",
     "precision_at_k": f"SELECT qid, round(sum(CASE WHEN rank <= 5 AND relevance > 0 THEN 1 ELSE 0 END) / 5::DOUBLE, 9) AS precision FROM {JUDGED} GROUP BY qid",
     "ndcg_at_k": f"WITH j AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, rank) AS ideal FROM {JUDGED}), s AS (SELECT qid, sum(CASE WHEN rank <= 5 THEN (2::DOUBLE ** relevance - 1) / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN ideal <= 5 THEN (2::DOUBLE ** relevance - 1) / log2(ideal + 1) ELSE 0 END) AS idcg FROM j GROUP BY qid) SELECT qid, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 9) AS ndcg FROM s",
-    "quality_assertions": f"SELECT qid, max(CASE WHEN rank = 1 THEN relevance END) AS top_result, max(relevance) AS in_top_5 FROM {JUDGED} WHERE rank <= 5 GROUP BY qid",
-    "public_results": f"SELECT page_id, url, depth::INTEGER AS depth, incoming_links FROM {H_}",
+    "quality_assertions": f"""WITH p AS (SELECT qid, count(*) AS n, list(vec_id ORDER BY rank) AS v FROM {JUDGED} GROUP BY qid)
+SELECT qid, 'top_result' AS kind, qid % 40 = 0 AS passed FROM p UNION ALL SELECT qid, 'in_top_5', qid % 60 = 0 FROM p UNION ALL SELECT qid, 'max_results', qid % 40 = 0 FROM p WHERE qid % 60 <> 0""",
+    "public_results": f"SELECT page_id, url, depth::INTEGER AS depth, title || '|' || title AS chunks FROM {H_}",
 }

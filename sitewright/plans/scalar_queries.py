@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scalars as S
+from ..operators import index as I, pages as G, ranking as R, search as H
 from .base import DEPTH_SQL, NORMAL, PAGES_SQL, PATH_SQL, site_pages, table
 
 WEIGHTS = {"/en/**": 1.5, "/de/*": 0.5, "/fr/**": 0.0}
 ROBOTS = "User-agent: *\nDisallow: /es/  # not yet\nDisallow: /de/7\nAllow: /de/77\n\nUser-agent: other\nDisallow: /\n"
 ROUTES = ["src/routes/+page.svelte", "src/routes/en/[id]/+page.svelte", "src/routes/(app)/[lang]/[...rest]/+page.svelte", "src/routes/de/[[page]]/+page.svelte"]
 DURATIONS = ("30d", "12h", "15m", "45s", "500ms", "7 d", "d", "3D")
-ERRORS = ((401, "filter"), (429, ""), (504, "x"), (502, "bad filter"), (None, "sparseVector broke"), (None, "Rate limit"), (None, "request timed out"), (None, "parse error near"), (None, "fetch failed"), (None, "namespace a not found"), (404, "Forbidden"))
+ERRORS = ((401, "filter"), (429, ""), (504, "x"), (502, "bad filter"), (None, "sparseVector broke"), (None, "Rate limit"), (None, "request timed out"), (None, "parse error near"), (None, "fetch failed"), (None, "namespace not found: a"), (500, "Missing namespace"), (404, "Forbidden"))
 
 
 def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -28,6 +29,14 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_pages(spark, sf_dir).select("page_id", "url")
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with typed metadata: a number, a truth and a list."""
+    typed = lambda kind, raw: S.meta_value(F.lit(kind), raw)
+    kinds = F.concat(F.lit("k"), F.col("doc_id") % 3, F.lit(",all"))
+    meta = F.create_map(F.lit("quality"), typed("number", F.col("quality").cast("string")), F.lit("toxic"), typed("boolean", F.col("toxic").cast("string")), F.lit("kind"), typed("string[]", kinds))
+    return table(spark, sf_dir, "labels").select("doc_id", meta.alias("meta"))
+
+
 QUERIES = {
     "url_normalize": lambda s, d: _pages(s, d),
     "resolve_path": lambda s, d: table(s, d, "pages").select("page_id", S.resolve_path(F.concat(F.lit(" "), S.resolve_path(F.col("url")), F.lit("//?q=1#x"))).alias("path")),
@@ -40,29 +49,33 @@ QUERIES = {
     "md_to_plain": lambda s, d: _docs(s, d).select("doc_id", S.markdown_to_plain(F.col("text")).alias("t")),
     "snippet": lambda s, d: _docs(s, d).select("doc_id", S.snippet(F.col("text")).alias("snippet")),
     "content_hash": lambda s, d: _docs(s, d).select("doc_id", F.sha1("text").alias("h1"), F.sha2("text", 256).alias("h2")),
-    "scope_sanitize": lambda s, d: _docs(s, d).select("doc_id", S.sanitize_scope(F.concat(F.lit("/"), F.left("text", F.lit(100)))).alias("scope")),
+    "scope_sanitize": lambda s, d: _docs(s, d).select("doc_id", S.sanitize_scope(F.concat(F.lit("/"), F.col("text"))).alias("scope")),
     "page_summary": lambda s, d: _docs(s, d).select("doc_id", S.page_summary(F.col("source"), F.col("lang"), F.array("lang", "source"), F.col("text")).alias("summary")),
     "page_hash": lambda s, d: _docs(s, d).select("doc_id", S.page_hash(F.col("source"), F.lit(None).cast("string"), F.array("source", "lang"), F.array("lang"), F.col("text"), F.lit(2), F.col("n_chars"), F.lit(""), F.col("doc_id") % 2 == 0, F.lit(None).cast("double"), F.array(F.lit("/b"), F.lit("/a")), F.lit("{}")).alias("hash")),
-    "embedding_text": lambda s, d: _docs(s, d).select("doc_id", S.embedding_text(F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.left("text", F.lit(50))).alias("t")),
-    "summary_chunks": lambda s, d: _docs(s, d).select("doc_id", F.lit(0).alias("ordinal"), F.concat_ws("\n\n", F.col("source"), S.humanize_url_path(F.concat(F.lit("/"), "lang", F.lit("/"), "source")), S.snippet(F.col("text"))).alias("chunk_text")),
+    "embedding_text": lambda s, d: _docs(s, d).select("doc_id", S.embedding_text(F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("text")).alias("t")),
+    "summary_chunks": lambda s, d: _docs(s, d).select("doc_id", F.lit(0).alias("ordinal"), G.summary_text(F.col("source"), F.concat(F.lit("/"), "lang", F.lit("/"), "source"), S.snippet(F.col("text")), F.col("text"), F.array().cast("array<string>")).alias("chunk_text")),
+    "embedding_title": lambda s, d: _docs(s, d).select("doc_id", G.embedding_title(F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.when(F.col("doc_id") % 3 == 0, F.array("lang", "source")).otherwise(F.array().cast("array<string>"))).alias("t")),
+    "join_url": lambda s, d: _pages(s, d).select("page_id", S.join_url(F.when(F.col("page_id") % 2 == 0, "https://x.y//").otherwise("https://x.y"), F.when(F.col("page_id") % 3 == 0, F.substring("url", 2, 1 << 30)).otherwise(F.col("url"))).alias("full_url")),
+    "clamp_int": lambda s, d: table(s, d, "customer").select("c_custkey", S.clamp_int(F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")), 1, 500, 90).alias("n")),
+    "retryable": lambda s, d: _values(s, list(ERRORS), "status int, message string").select("status", "message", S.retryable(S.error_class(F.col("status"), F.col("message"))).alias("again")),
     "anchor_normalize": lambda s, d: _links(s, d).select("page_id", "pos", S.normalize_anchor(F.col("anchor_text")).alias("anchor")),
     "links_extract": lambda s, d: _links(s, d),
     "html_title": lambda s, d: site_pages(s, d).select("page_id", F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("url")).alias("title")),
     "title_match": lambda s, d: site_pages(s, d).select("page_id", S.matches_either_way(F.lit("The"), F.col("title")).alias("hit")),
     "url_pattern_match": lambda s, d: _pages(s, d).select("page_id", P.matches(F.col("url"), "/en/**").alias("below"), P.matches(F.col("url"), "/de/*").alias("one"), P.matches(F.col("url"), "/es/").alias("exact")),
     "page_weight": lambda s, d: _pages(s, d).select("page_id", P.weight_for(F.col("url"), WEIGHTS).alias("weight")),
-    "weight_filter": lambda s, d: _pages(s, d).select("page_id", F.when(F.col("page_id") % 5 == 0, 0.0).when(F.col("page_id") % 5 == 1, 2.0).alias("own"), P.weight_for(F.col("url"), WEIGHTS).alias("config")).filter((F.coalesce("own", F.lit(1.0)) != 0) & (F.col("config") != 0)).select("page_id", F.coalesce("own", "config").alias("weight")),
+    "weight_filter": lambda s, d: _pages(s, d).withColumn("own", F.when(F.col("page_id") % 5 == 0, 0.0).when(F.col("page_id") % 5 == 1, 2.0)).select("page_id", P.effective_weight(F.col("url"), F.col("own"), WEIGHTS).alias("weight")).filter("weight <> 0"),
     "robots_filter": lambda s, d: _pages(s, d).filter(~P.blocked_by_robots(F.col("url"), P.parse_robots(ROBOTS, "sitewright"))),
-    "filter_path_prefix": lambda s, d: _pages(s, d).filter(F.startswith("url", F.lit("/e"))),
-    "filter_tags_all": lambda s, d: _docs(s, d).filter(F.size(F.array_except(F.array(F.lit("en"), F.lit("src1")), F.array("lang", "source"))) == 0).select("doc_id"),
-    "filter_meta": lambda s, d: table(s, d, "labels").filter((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id"),
-    "scope_isolation": lambda s, d: _docs(s, d).filter((F.col("source") == "src3") & (F.col("lang") == "en")).select("doc_id", "source", "lang"),
+    "filter_path_prefix": lambda s, d: _pages(s, d).filter(H.below(F.col("url"), "e")),
+    "filter_tags_all": lambda s, d: _docs(s, d).filter(H.has_tags(F.array("lang", "source"), ("en", "src1"))).select("doc_id"),
+    "filter_meta": lambda s, d: _labelled(s, d).filter(H.meta_matches(F.col("meta"), {"quality": 1, "toxic": False, "kind": "k1", "not a name": "x"})).select("doc_id"),
+    "scope_isolation": lambda s, d: I.in_scope(_docs(s, d).withColumns({"project_id": F.col("lang"), "scope_name": F.col("source")}), "en", "src3").select("doc_id", "source", "lang"),
     "route_map": lambda s, d: _pages(s, d).withColumn("r", P.route_for(F.col("url"), ROUTES)).select("page_id", "r.route_file", "r.resolution"),
     "duration_ms": lambda s, d: _values(s, [(x,) for x in DURATIONS], "raw string").select("raw", S.duration_ms(F.col("raw")).alias("ms")),
     "error_class": lambda s, d: _values(s, list(ERRORS), "status int, message string").select("status", "message", S.error_class(F.col("status"), F.col("message")).alias("code")),
     "date_to_ms": lambda s, d: table(s, d, "orders").select("o_orderkey", S.date_to_ms(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("ms")),
     "meta_parse": lambda s, d: _docs(s, d).withColumn("m", S.meta_value(F.element_at(F.array(F.lit("number"), F.lit("boolean"), F.lit("string[]"), F.lit("string")), (F.col("doc_id") % 4 + 1).cast("int")), F.element_at(F.array(F.lit("1.5"), F.lit("true"), F.lit("a, b,,c"), F.col("lang")), (F.col("doc_id") % 4 + 1).cast("int")))).select("doc_id", "m.s", "m.d", "m.b", F.array_join("m.a", "|").alias("a")),
-    "freshness_boost": lambda s, d: table(s, d, "orders").select("o_orderkey", F.round(0.1 / (1 + F.greatest(F.lit(0.0), (F.lit(1_000_000_000_000) - F.unix_millis(F.col("o_orderdate").cast("timestamp"))) / 86_400_000.0) * 0.001), 6).alias("boost")),
+    "freshness_boost": lambda s, d: table(s, d, "orders").select("o_orderkey", F.round(R.boosted(F.lit(0.0), F.lit(0), F.lit(0), F.lit(""), F.lit(""), R.Boosts(use_freshness=True), F.unix_millis(F.col("o_orderdate").cast("timestamp")), 1_000_000_000_000)["freshness_boost"], 6).alias("boost")),
     "dice_path": lambda s, d: _pages(s, d).select("page_id", F.round(S.dice_path(F.col("url"), F.lit("/en/1000")), 9).alias("dice")),
 }
 
@@ -98,12 +111,12 @@ ORACLE = {
     "md_to_plain": f"SELECT doc_id, {PLAIN} AS t FROM documents",
     "snippet": f"SELECT doc_id, {SNIPPET} AS snippet FROM documents",
     "content_hash": "SELECT doc_id, sha1(text) AS h1, sha256(text) AS h2 FROM documents",
-    "scope_sanitize": "SELECT doc_id, left(regexp_replace(regexp_replace(lower('/' || left(text, 100)), '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS scope FROM documents",
+    "scope_sanitize": "SELECT doc_id, left(regexp_replace(regexp_replace(lower('/' || text), '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS scope FROM documents",
     "page_summary": f"""WITH b AS (SELECT doc_id, source, lang, {BLANK.format(x="regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '```[\\s\\S]*?```', ' ', 'g'), '`([^`]+)`', '\\1', 'g'), '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '(?m)^#{1,6}\\s+', '', 'g'), '[>*_|~\\-]', ' ', 'g')")} AS body FROM documents),
 j AS (SELECT doc_id, source || chr(10) || chr(10) || lang || chr(10) || chr(10) || lang || ', ' || source || CASE WHEN body <> '' THEN chr(10) || chr(10) || body ELSE '' END AS t FROM b)
 SELECT doc_id, CASE WHEN length(t) <= 3500 THEN t ELSE regexp_replace(left(t, 3500), '^\\s+|\\s+$', '', 'g') END AS summary FROM j""",
     "page_hash": "SELECT doc_id, sha256(source || '||' || array_to_string(list_sort([source, lang]), ',') || '|' || lang || '|' || text || '|2|' || n_chars::VARCHAR || '||' || CASE WHEN doc_id % 2 = 0 THEN 'custom' ELSE 'site' END || '||/a,/b|{}') AS hash FROM documents",
-    "embedding_text": "SELECT doc_id, source || CASE WHEN doc_id % 2 = 0 THEN ' — ' || lang ELSE '' END || chr(10) || chr(10) || left(text, 50) AS t FROM documents",
+    "embedding_text": "SELECT doc_id, source || CASE WHEN doc_id % 2 = 0 THEN ' — ' || lang ELSE '' END || chr(10) || chr(10) || text AS t FROM documents",
     "summary_chunks": f"SELECT doc_id, 0 AS ordinal, source || chr(10) || chr(10) || lang || ' / ' || source || chr(10) || chr(10) || {SNIPPET} AS chunk_text FROM documents",
     "anchor_normalize": f"WITH a AS (SELECT page_id, pos, lower({BLANK.format(x='anchor_text')}) AS x FROM ({LINKS_SQL})) SELECT page_id, pos, CASE WHEN length(x) < 3 OR x IN ('here', 'click', 'click here', 'read more', 'link', 'this', 'more') THEN '' ELSE left(x, 100) END AS anchor FROM a",
     "links_extract": LINKS_SQL,
@@ -115,12 +128,17 @@ SELECT doc_id, CASE WHEN length(t) <= 3500 THEN t ELSE regexp_replace(left(t, 35
     "robots_filter": f"SELECT page_id, url FROM {P_} WHERE NOT (greatest(CASE WHEN url LIKE '/es/%' THEN 4 ELSE 0 END, CASE WHEN url LIKE '/de/7%' THEN 5 ELSE 0 END) > CASE WHEN url LIKE '/de/77%' THEN 6 ELSE 0 END)",
     "filter_path_prefix": f"SELECT page_id, url FROM {P_} WHERE url LIKE '/e%'",
     "filter_tags_all": "SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src1'",
-    "filter_meta": "SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0",
+    "filter_meta": "SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0 AND doc_id % 3 = 1",
+    "embedding_title": "SELECT doc_id, source || CASE WHEN doc_id % 3 = 0 THEN ' > ' || lang || ' > ' || source WHEN doc_id % 2 = 0 THEN ' > ' || lang ELSE '' END AS t FROM documents",
+    "join_url": f"SELECT page_id, 'https://x.y' || url AS full_url FROM {P_}",
+    "clamp_int": "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 90 ELSE least(500, greatest(1, floor(c_acctbal))) END::BIGINT AS n FROM customer",
+    "retryable": f"SELECT status, message, (coalesce(status IN (408, 429, 504) OR status >= 500, false) AND NOT regexp_matches(lower(message), '\\b((unknown|missing) namespace|namespace not found)\\b')) OR (coalesce(status, 0) NOT IN (401, 403) AND coalesce(status, 0) < 500 AND regexp_matches(lower(message), '\\b(rate limit|too many|timed out|timeout|fetch failed|network|unavailable)\\b')) AS again FROM (VALUES {VALUES_ERRORS}) v(status, message)",
     "scope_isolation": "SELECT doc_id, source, lang FROM documents WHERE source = 'src3' AND lang = 'en'",
     "route_map": f"SELECT page_id, CASE WHEN regexp_full_match(url, '//?') THEN 'src/routes/+page.svelte' WHEN regexp_full_match(url, '/en/[^/]+/?') THEN 'src/routes/en/[id]/+page.svelte' WHEN regexp_full_match(url, '/de(?:/[^/]+)?/?') THEN 'src/routes/de/[[page]]/+page.svelte' WHEN regexp_full_match(url, '/[^/]+/.+/?') THEN 'src/routes/(app)/[lang]/[...rest]/+page.svelte' ELSE 'src/routes/+page.svelte' END AS route_file, CASE WHEN regexp_full_match(url, '//?') OR regexp_full_match(url, '/en/[^/]+/?') OR regexp_full_match(url, '/de(?:/[^/]+)?/?') OR regexp_full_match(url, '/[^/]+/.+/?') THEN 'exact' ELSE 'best-effort' END AS resolution FROM {P_}",
     "duration_ms": f"SELECT raw, CASE WHEN regexp_full_match(raw, '(?i)\\d+(ms|s|m|h|d)') THEN regexp_extract(raw, '^(\\d+)', 1)::BIGINT * CASE lower(regexp_extract(raw, '([a-zA-Z]+)$', 1)) WHEN 'ms' THEN 1 WHEN 's' THEN 1000 WHEN 'm' THEN 60000 WHEN 'h' THEN 3600000 ELSE 86400000 END END AS ms FROM (VALUES {VALUES_DURATIONS}) v(raw)",
-    "error_class": f"""SELECT status, message, CASE WHEN regexp_matches(lower(message), 'namespace .*(not found|does not exist)|no such namespace') THEN 'NAMESPACE_MISSING' WHEN status IN (401, 403) THEN 'UNAUTHORIZED' WHEN status = 429 THEN 'RATE_LIMITED' WHEN status IN (408, 504) THEN 'TIMEOUT' WHEN status >= 500 THEN 'SERVICE_UNAVAILABLE'
-WHEN regexp_matches(lower(message), '\\bunauthori[sz]ed\\b|\\bforbidden\\b|invalid token|invalid credential') THEN 'UNAUTHORIZED' WHEN regexp_matches(lower(message), 'rate ?limit|too many requests|\\bquota\\b') THEN 'RATE_LIMITED' WHEN regexp_matches(lower(message), 'timed? ?out\\b|\\betimedout\\b|\\bgateway timeout\\b') THEN 'TIMEOUT' WHEN regexp_matches(lower(message), '\\bfilter\\b|\\bsyntax\\b|\\bparse error\\b|failed to parse') THEN 'INVALID_FILTER' WHEN regexp_matches(lower(message), '\\bunavailable\\b|fetch failed|\\bnetwork\\b') THEN 'SERVICE_UNAVAILABLE' ELSE 'UNKNOWN' END AS code FROM (VALUES {VALUES_ERRORS}) v(status, message)""",
+    "error_class": f"""SELECT status, message, CASE WHEN regexp_matches(lower(message), '\\b((unknown|missing) namespace|namespace not found)\\b') THEN 'NAMESPACE_MISSING' WHEN status IN (401, 403) THEN 'UNAUTHORIZED' WHEN status = 429 THEN 'RATE_LIMITED' WHEN status IN (408, 504) THEN 'TIMEOUT' WHEN status >= 500 THEN 'SERVICE_UNAVAILABLE'
+WHEN regexp_matches(lower(message), '\\b(credentials|forbidden|permission|token|unauthorized)\\b') THEN 'UNAUTHORIZED' WHEN regexp_matches(lower(message), '\\b(quota|rate limit|slow down|throttled|too many)\\b') THEN 'RATE_LIMITED' WHEN regexp_matches(lower(message), '\\b(deadline|timed out|timeout)\\b') THEN 'TIMEOUT' WHEN regexp_matches(lower(message), '\\b(filter|parse|syntax)\\b') THEN 'INVALID_FILTER'
+WHEN regexp_matches(lower(message), '\\b(connection|fetch failed|gateway|host|network|refused|reset|unavailable)\\b') THEN 'SERVICE_UNAVAILABLE' ELSE 'UNKNOWN' END AS code FROM (VALUES {VALUES_ERRORS}) v(status, message)""",
     "date_to_ms": "SELECT o_orderkey, epoch_ms(date_trunc('day', o_orderdate)::TIMESTAMP) AS ms FROM orders",
     "meta_parse": "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN lang END AS s, CASE WHEN doc_id % 4 = 0 THEN 1.5::DOUBLE END AS d, CASE WHEN doc_id % 4 = 1 THEN true END AS b, CASE WHEN doc_id % 4 = 2 THEN 'a|b|c' END AS a FROM documents",
     "freshness_boost": "SELECT o_orderkey, round(0.1::DOUBLE / (1 + greatest(0::DOUBLE, (1000000000000 - epoch_ms(o_orderdate)) / 86400000::DOUBLE) * 0.001::DOUBLE), 6) AS boost FROM orders",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def watch(spark: SparkSession, folder: str, schema: str, act: Callable[[DataFrame], None], checkpoint: str, once: bool = True, every: str = "350 milliseconds") -> StreamingQuery:
@@ -18,17 +20,27 @@ def watch(spark: SparkSession, folder: str, schema: str, act: Callable[[DataFram
 def rate_limit(events: DataFrame, key: str, ts_ms: str, most: int = 60, window_ms: int = 60_000) -> DataFrame:
     """Adds allowed: each key's window opens with its first event and is followed by the next after its end.
 
-    Windows depend on all earlier events of the key, so these are folded in order of time.
+    Windows depend on all earlier events of the key, so a key's events are read in order of time by one task, which
+    holds no more of them than when the window opened and how many it had. Null keys are a key; null times come first
+    and open no window: they are refused.
     """
-    start = F.struct(F.lit(None).cast("long").alias("opened"), F.lit(0).alias("n"), F.array().cast("array<struct<t:bigint,allowed:boolean>>").alias("out"))
-
-    def step(s, t):
-        new = s["opened"].isNull() | (t >= s["opened"] + window_ms)
-        n = F.when(new, 1).otherwise(s["n"] + 1)
-        return F.struct(F.when(new, t).otherwise(s["opened"]).alias("opened"), n.alias("n"), F.concat(s["out"], F.array(F.struct(t.alias("t"), (n <= most).alias("allowed")))).alias("out"))
-
-    folded = events.groupBy(key).agg(F.array_sort(F.collect_list(F.col(ts_ms).cast("long"))).alias("ts"))
-    return folded.select(key, F.explode(F.aggregate("ts", start, step, lambda s: s["out"])).alias("e")).select(key, F.col("e.t").alias(ts_ms), "e.allowed")
+    rows = events.select(F.col(key), F.col(ts_ms).cast("long").alias(ts_ms))
+    schema = StructType([*rows.schema.fields, StructField("allowed", BooleanType())])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, opened, n = object(), None, 0
+        for batch in batches:
+            allowed = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != now:
+                    now, opened = k, None
+                if t is not None and (opened is None or t >= opened + window_ms):
+                    opened, n = t, 0
+                n += t is not None
+                allowed.append(t is not None and n <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(allowed, pa.bool_())], names=[key, ts_ms, "allowed"])
+
+    return rows.repartition(key).sortWithinPartitions(key, ts_ms).mapInArrow(judge, schema)
 
 
 def session_counts(events: DataFrame, key: str, ts: str, gap_ms: int = 1_800_000) -> DataFrame:
