@@ -5,9 +5,10 @@ exact merging gives if and only if each token encodes to itself and each adjacen
 adjacent pair is tested, all at once, by undoing merges on both sides of its seam. Only words with a failing pair are
 merged exactly.
 
-The words are those of the tokenizer file's byte-level splitting. Where every space is followed by a character that
-is not white space, the text falls into independent pieces at the spaces, and pieces are remembered with their ids;
-other texts are split as a whole. The file's special tokens are recognised in the text, as its library does.
+The words are those of the tokenizer file's byte-level splitting. Before each space that a character other than white
+space follows, the text falls into independent pieces; pieces are remembered with their ids and with the bytes that
+these ids decode to. The file's special tokens are recognised in the text, as its library does. A file that asks for
+another kind of splitting, normalising or merging is refused.
 
 Defined results: a null text is the empty text with no tokens; ids may be null or repeat; texts of any length are
 read whole; an empty table gives no rows; other columns are left alone.
@@ -21,6 +22,7 @@ import json
 import sys
 import types
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, released
 
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-REMEMBERED = 300_000  # pieces a worker keeps; all are forgotten beyond that
+WHITE_SPACE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | set(map(chr, range(0x2000, 0x200B)))
+REMEMBERED = 120_000  # pieces in each half of what a worker keeps
+SHORT_WORD, NO_MERGE = 64, 1 << 60
 SHIFT = 20
 RUN_CHARS = 4 << 20
 
@@ -48,10 +52,37 @@ def load_file(path: str) -> dict:
     """What the executors need of a tokenizer file: a fixed amount, whatever the corpus."""
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
+    splitting, model = data.get("pre_tokenizer") or {}, data["model"]
+    plain = splitting.get("type") == "ByteLevel" and not splitting.get("add_prefix_space") and splitting.get("use_regex", True) and not data.get("normalizer")
+    if not plain or model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("ignore_merges", "dropout", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix")):
+        raise ValueError(f"{path}: only byte-level BPE without normalising, prefix space or shortcuts past merging is supported")
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in data["model"]["merges"]]
     return {"vocab": data["model"]["vocab"], "merges": merges, "special": {t["content"]: t["id"] for t in data["added_tokens"]}}
 
 
+class Memory:
+    """Pieces with their ids and with the bytes that these decode to. When REMEMBERED are held they become the older
+    half, from which those that are met again come back; what was older before is forgotten."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, bytes] = {}
+        self.raw: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    def age(self) -> None:
+        if len(self.ids) > REMEMBERED:
+            self.older, self.ids, self.raw = (self.ids, self.raw), {}, {}
+
+    def unknown(self, pieces: set[str]) -> list[str]:
+        """Those of the pieces that must be encoded."""
+        new = pieces.difference(self.ids)
+        ids, raw = self.older
+        again = new.intersection(ids)
+        for p in again:
+            self.ids[p], self.raw[p] = ids[p], raw[p]
+        return sorted(new.difference(again))
+
+
 class Codec:
     def __init__(self, file: dict) -> None:
         letters = byte_letters()
@@ -68,16 +99,20 @@ class Codec:
         self.letters_of_id = np.zeros(size, np.int64)
         for s, i in self.vocab.items():
             self.letters_of_id[i] = len(s)
-        # rank of a merge, and what it makes; a token's own rank is -1 for single bytes
-        self.merged: dict[tuple[int, int], tuple[int, int]] = {}
+        # rank of a pair's merge, and what it makes; a token's own rank is -1 for single bytes
+        self.rank_of: dict[int, int] = {}
+        self.rank_of_parts: dict[tuple[str, str], int] = {}
+        self.made: list[int] = []
         self.left, self.right = np.arange(size), np.arange(size)
         self.rank = np.full(size, -1, np.int64)
         for rank, (a, b) in enumerate(file["merges"]):
             i = self.vocab[a + b]
-            self.merged.setdefault((self.vocab[a], self.vocab[b]), (rank, i))
+            self.made.append(i)
+            self.rank_of_parts.setdefault((a, b), rank)
+            self.rank_of.setdefault(self.vocab[a] << SHIFT | self.vocab[b], rank)
             if self.rank[i] < 0:
                 self.rank[i], self.left[i], self.right[i] = rank, self.vocab[a], self.vocab[b]
-        pairs = sorted((a << SHIFT | b, rank) for (a, b), (rank, _) in self.merged.items())
+        pairs = sorted(self.rank_of.items())
         self.pair_keys, self.pair_ranks = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
         self.matcher = ahocorasick.Automaton()
         for s, i in self.vocab.items():
@@ -85,8 +120,8 @@ class Codec:
         self.matcher.make_automaton()
         self.words = regex.compile(WORDS)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.blank_after_space = regex.compile(r" (?:\p{White_Space}|$)")
-        self.pieces: dict[str, bytes] = {}
+        self.sizes = np.fromiter(map(len, self.bytes_of), np.int64, size)
+        self.heads, self.pieces = Memory(), Memory()
         self.good_pairs = np.zeros(0, np.int64)
         self.bad_pairs = np.zeros(0, np.int64)
         self.own = np.zeros(size, bool)
@@ -96,25 +131,41 @@ class Codec:
     # exact merging
 
     def exact(self, word: str) -> list[int]:
-        """Merges by rank, leftmost first; a heap of pairs over a linked list, so long words take n log n."""
-        ids = [self.vocab[c] for c in word]
+        """Merges by rank, leftmost first. Short words keep the ranks of their pairs in a list; longer ones a heap of pairs
+        over a linked list, so that they take n log n."""
+        if len(word) > SHORT_WORD:
+            return self._exact_long([self.vocab[c] for c in word])
+        get, parts = self.rank_of_parts.get, list(word)
+        ranks = list(map(get, zip(parts, parts[1:]), repeat(NO_MERGE)))
+        while ranks and (rank := min(ranks)) < NO_MERGE:
+            i = ranks.index(rank)
+            whole = parts[i] + parts[i + 1]
+            parts[i : i + 2] = [whole]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], whole), NO_MERGE)
+            if i < len(ranks):
+                ranks[i] = get((whole, parts[i + 1]), NO_MERGE)
+        return [self.vocab[x] for x in parts]
+
+    def _exact_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := self.merged.get((ids[i], ids[i + 1])))]
+        heap = [(rank, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rank := self.rank_of.get(ids[i] << SHIFT | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i] if ids[i] == a else n
             if j >= n or ids[j] != b:
                 continue
-            ids[i] = self.merged[a, b][1]
+            ids[i] = self.made[rank]
             ids[j] = -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (m := self.merged.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (m[0], x, ids[x], ids[y]))
+                if x >= 0 and y < n and (rank := self.rank_of.get(ids[x] << SHIFT | ids[y])) is not None:
+                    heapq.heappush(heap, (rank, x, ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
     # verification
@@ -163,8 +214,7 @@ class Codec:
             first.append(len(words))
         text = " ".join(words)
         found = list(self.matcher.iter_long(text))
-        ids = np.fromiter((i for _, i in found), np.int64, len(found))
-        ends = np.fromiter((e for e, _ in found), np.int64, len(found))
+        ends, ids = np.fromiter(chain.from_iterable(found), np.int64, 2 * len(found)).reshape(-1, 2).T
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
         word = np.searchsorted(starts, ends, "right") - 1
@@ -188,32 +238,70 @@ class Codec:
         return out
 
     def split(self, text: str) -> list[str]:
-        """Pieces whose encodings joined are the text's."""
-        if self.blank_after_space.search(text):
-            return self.words.findall(text)
-        head, *rest = text.split(" ")
-        return ([head] if head else []) + [" " + r for r in rest]
+        """Pieces whose encodings joined are the text's: the text is cut before each space that a character other than
+        white space follows. The first piece is as it stands; the others are without that space."""
+        parts = text.split(" ")
+        if not any(self.needs_mending(p) for p in set(parts).difference(self.pieces.ids)):
+            return parts
+        out = parts[:1]
+        for p in parts[1:]:
+            if self.needs_mending(p):
+                out[-1] += " " + p
+            else:
+                out.append(p)
+        return out
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str | int]] = []
-        new: set[str] = set()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        known = self.pieces
+    @staticmethod
+    def needs_mending(part: str) -> bool:
+        return not part or part[0] in WHITE_SPACE
+
+    def remember(self, known: Memory, pieces: list[str], before: str) -> None:
+        """Keeps the ids of new pieces, and the bytes that these ids decode to."""
+        if not pieces:
+            return
+        found = self.encode_pieces([before + p for p in pieces])
+        ids = np.frombuffer(b"".join(found), "<u4")
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])[np.cumsum([0] + [len(x) // 4 for x in found])].tolist()
+        data = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        known.ids.update(zip(pieces, found, strict=True))
+        known.raw.update((p, data[a:b]) for p, a, b in zip(pieces, ends[:-1], ends[1:], strict=True))
+
+    def both_ways(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Of each text its ids, and the bytes that they decode to."""
+        self.pieces.age()
+        self.heads.age()
+        sections: list[list[list[str] | int]] = []
+        heads: set[str] = set()
+        rest: set[str] = set()
         for text in texts:
-            parts: list[str | int] = []
+            parts: list[list[str] | int] = []
             for part in self.specials.split(text) if self.specials and any(s in text for s in self.special) else [text]:
                 if part in self.special:
                     parts.append(self.special[part])
                 elif part:
-                    parts += self.split(part)
-            new.update(p for p in parts if p not in known)
-            split.append(parts)
-        fresh = [p for p in new if isinstance(p, str)]
-        known.update(zip(fresh, self.encode_pieces(fresh), strict=True) if fresh else ())
-        for i in self.special.values():
-            known[i] = i.to_bytes(4, "little")
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+                    cut = self.split(part)
+                    heads.add(cut[0])
+                    rest.update(cut[1:])
+                    parts.append(cut)
+            sections.append(parts)
+        self.remember(self.heads, self.heads.unknown(heads), "")
+        self.remember(self.pieces, self.pieces.unknown(rest), " ")
+        out = []
+        for parts in sections:
+            ids: list[bytes] = []
+            raw: list[bytes] = []
+            for part in parts:
+                if isinstance(part, int):
+                    ids.append(part.to_bytes(4, "little"))
+                    raw.append(self.bytes_of[part])
+                else:
+                    ids += [self.heads.ids[part[0]], *map(self.pieces.ids.__getitem__, part[1:])]
+                    raw += [self.heads.raw[part[0]], *map(self.pieces.raw.__getitem__, part[1:])]
+            out.append((b"".join(ids), b"".join(raw)))
+        return out
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        return [ids for ids, _ in self.both_ways(texts)]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -281,10 +369,10 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         for batch in released(batches):
             n, a, b = [], [], []
             for run in _slices(batch.column("text"), run_chars):
-                for ids in codec.encode_batch(run):
+                for ids, raw in codec.both_ways(run):
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
-                    b.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+                    b.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
