@@ -83,3 +83,33 @@ def highlight_parts(text: Column, query: Column) -> Column:
     cut = F.split(F.regexp_replace(text, F.concat(F.lit("(?i)("), pattern, F.lit(")")), F.lit("\u0001$1\u0001")), "\u0001")
     parts = F.filter(F.transform(cut, lambda p, i: F.struct(p.alias("text"), (i % 2 == 1).alias("match"))), lambda p: p["text"] != "")
     return F.when(pattern == "", F.array(F.struct(text.alias("text"), F.lit(False).alias("match")))).otherwise(parts)
+
+
+def normalize_query(query: Column) -> Column:
+    return S.normalize_text(query)
+
+
+def wrap_index(index: Column, length: Column) -> Column:
+    """An index taken round a list; -1 for an empty list."""
+    return F.when(length <= 0, F.lit(-1)).otherwise(F.pmod(index, length)).cast("long")
+
+
+def chunk_as_result(result: Column, chunk: Column) -> Column:
+    """A result (struct) that shows one of its sections alone."""
+    return result.withField("section_title", chunk["section_title"]).withField("snippet", chunk["snippet"]).dropFields("chunks")
+
+
+def scroll_match(text: Column, needle: Column) -> Column:
+    """struct(start, end), in characters from 0, of the first place in a text where the needle's words stand in a row,
+    whatever is between them; else where they stand together without anything between. Null where they do not."""
+    words = F.filter(F.split(needle, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    strict = F.concat(F.lit("(?iu)"), F.array_join(words, r"[^\p{L}\p{N}]+"))
+    lenient = F.concat(F.lit("(?iu)"), F.array_join(words, r"[^\p{L}\p{N}]*"))
+    signs = F.concat(F.lit("(?iu)"), F.regexp_replace(F.regexp_replace(needle, r"([^\s\w])", r"\\$1"), r"\s+", r"\\s+"))
+    tries = [(F.size(words) > 0, strict), (F.size(words) > 1, lenient), ((F.size(words) == 0) & (needle != ""), signs)]
+    spans = []
+    for holds, pattern in tries:
+        found = F.regexp_substr(text, pattern)
+        start = F.regexp_instr(text, pattern) - 1
+        spans.append(F.when(holds & found.isNotNull(), F.struct(start.alias("start"), (start + F.length(found)).alias("end"))))
+    return F.coalesce(*spans)

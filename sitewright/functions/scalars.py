@@ -164,6 +164,40 @@ def page_id(project: Column, scope: Column, url: Column) -> Column:
     return F.concat(record_prefix(project, scope, "page"), encode_component(url))
 
 
+def key_of_record(record_id: Column, project: Column, scope: Column, kind: str) -> Column:
+    """What follows the prefix of a record id; null for ids of another scope, kind or layout."""
+    prefix = record_prefix(project, scope, kind)
+    return F.when(F.startswith(record_id, prefix), F.substring(record_id, F.length(prefix) + 1, F.length(record_id)))
+
+
+def url_of_page_id(record_id: Column, project: Column, scope: Column) -> Column:
+    """The url in a page's record id; null where that is no id of the scope's pages, or cannot be decoded."""
+    key = key_of_record(record_id, project, scope, "page")
+    return F.try_url_decode(F.replace(key, F.lit("+"), F.lit("%2B")))
+
+
+def safe_literal(text: str) -> str:
+    """Text that may stand between quotes in a filter; a quote or backslash is an error."""
+    if "'" in text or "\\" in text:
+        raise ValueError("a quote or backslash cannot stand in a filter's text")
+    return text
+
+
+def valid_meta_key(key: Column) -> Column:
+    return F.coalesce(key.rlike("^[a-zA-Z_][a-zA-Z0-9_]*$"), F.lit(False))
+
+
+def meta_content(value: Column) -> Column:
+    """The text that a typed value (as of meta_value) is written as; dates as milliseconds."""
+    whole = F.when(value["d"] == F.floor(value["d"]), value["d"].cast("long").cast("string")).otherwise(value["d"].cast("string"))
+    return F.coalesce(F.when(value["kind"] == "string[]", F.array_join(value["a"], ",")), value["b"].cast("string"), whole, value["s"])
+
+
+def safe_json(text: Column, schema: str, fallback: Column) -> Column:
+    """The value of a JSON text; the fallback for text that is none."""
+    return F.coalesce(F.from_json(text, schema, {"mode": "PERMISSIVE"}), fallback)
+
+
 def chunk_key(url: Column, headings: Column, text: Column, nth: Column) -> Column:
     """Key of a chunk from what it says, not from where it stands."""
     cleaned = F.transform(headings, lambda h: F.lower(trim_blanks(h)))

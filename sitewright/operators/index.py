@@ -88,6 +88,16 @@ class Index:
         name = self._current()
         return self.spark.read.parquet(f"{self.base}/{name}/{kind}") if name else None
 
+    def health(self) -> tuple[bool, str | None]:
+        """Whether the index can be read, and what it says if not; a scope without runs can."""
+        try:
+            found = self.read()
+            if found is not None:
+                found.limit(1).count()
+        except Exception as e:  # whatever the store says is put in our own words
+            return False, type(e).__name__
+        return True, None
+
     def hashes(self, kind: str = "pages") -> DataFrame | None:
         """key, content_hash, custom of all records of a kind."""
         found = self.read(kind)

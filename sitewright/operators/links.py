@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 ANCHOR_LENGTH = 500
+STRUCTURE_PAGES = 2000  # fixed value: pages that one report shows
 
 
 def known_links(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -68,3 +69,21 @@ def site_tree(pages: DataFrame) -> DataFrame:
     nodes = nodes.select(F.col("at").alias("url"), F.when(F.col("at") != "/", F.regexp_replace(F.regexp_replace("at", "/[^/]*$", ""), "^$", "/")).alias("parent_url"), S.url_depth(F.col("at")).alias("depth"), F.coalesce("title", F.lit("")).alias("title"), (F.col("indexed") == 1).alias("is_indexed"))
     counts = nodes.filter("parent_url IS NOT NULL").groupBy(F.col("parent_url").alias("url")).agg(F.count("*").alias("child_count"))
     return nodes.join(counts, "url", "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)))
+
+
+def subtree(tree: DataFrame, prefix: str) -> DataFrame:
+    """The part of a site tree at and below a path; a path that the tree lacks is an empty node of its own."""
+    path = "/" + "/".join(x for x in prefix.split("/") if x)
+    below = tree if path == "/" else tree.filter((F.col("url") == path) | F.startswith("url", F.lit(path + "/")))
+    if not below.filter(F.col("url") == path).isEmpty():
+        return below
+    depth = path.count("/") if path != "/" else 0
+    parent = None if path == "/" else path.rsplit("/", 1)[0] or "/"
+    own = tree.sparkSession.createDataFrame([(path, parent, depth, "", False, 0)], "url string, parent_url string, depth int, title string, is_indexed boolean, child_count long")
+    return below.unionByName(own)
+
+
+def site_structure(pages: DataFrame, prefix: str = "/", most: int = STRUCTURE_PAGES) -> tuple[DataFrame, bool]:
+    """The tree of the first `most` pages by url, or of its part below a path, and whether pages were left out."""
+    first = pages.select("url", "title").orderBy("url").limit(most + 1)  # a report of bounded size
+    return subtree(site_tree(first.orderBy("url").limit(most)), prefix), first.count() > most

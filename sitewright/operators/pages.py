@@ -38,6 +38,11 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     return pages.select(F.col(url_col), F.col(html_col)).mapInArrow(run, EXTRACT_SCHEMA)
 
 
+def indexed(pages: DataFrame) -> DataFrame:
+    """Of extracted pages those that are to be indexed; the others are as if there were none."""
+    return pages.filter("status = 'indexed'")
+
+
 def chunk_pages(pages: DataFrame, url_col: str = "url", markdown_col: str = "markdown", **options: int) -> DataFrame:
     """url, ordinal, section, level, path, text of each chunk."""
     schema = _schema(CHUNK_SCHEMA)

@@ -105,6 +105,8 @@ QUERIES = {
     "anchor_rollup": lambda s, d: L.anchor_rollup(_edges(s, d)),
     "graph_bfs_reach": lambda s, d: L.reach(_tree_edges(s, d), s.createDataFrame([("/",)], "url string"), 4),
     "site_tree": lambda s, d: L.site_tree(site_pages(s, d).select("url", "title")),
+    "site_subtree": lambda s, d: L.subtree(L.site_tree(site_pages(s, d).select("url", "title")), "en/"),
+    "site_structure": lambda s, d: L.site_structure(diff.dedupe_first(site_pages(s, d), "url", "page_id"), most=100)[0].select("url", "is_indexed", "child_count"),
     "changed_pages": lambda s, d: diff.changed(_current(s, d), _stored(s, d), "doc_id").select("doc_id"),
     "stale_pages": lambda s, d: diff.stale(_stored(s, d), _current(s, d), "doc_id", custom_records_given=False).select("doc_id"),
     "stale_chunks": lambda s, d: diff.stale(_stored(s, d), _current(s, d), "doc_id").select("doc_id"),
@@ -158,6 +160,8 @@ STORED_DOCS = "(SELECT doc_id, lang AS project_id, source AS scope_name, CASE WH
 NODES = f"(SELECT DISTINCT node FROM (SELECT unnest(list_transform(range(0, len(p) + 1), lambda n: '/' || array_to_string(p[1:n], '/'))) AS node FROM (SELECT list_filter(string_split(url, '/'), lambda s: s <> '') AS p FROM ({PAGES_SQL}))))"
 TREE = f"(SELECT node AS url, CASE WHEN node <> '/' THEN regexp_replace(regexp_replace(node, '/[^/]*$', ''), '^$', '/') END AS parent_url FROM {NODES})"
 
+FIRST_NODES = f"(SELECT DISTINCT node, node = own AS leaf FROM (SELECT url AS own, unnest(list_transform(range(0, len(p) + 1), lambda n: '/' || array_to_string(p[1:n], '/'))) AS node FROM (SELECT url, list_filter(string_split(url, '/'), lambda s: s <> '') AS p FROM (SELECT DISTINCT url FROM ({PAGES_SQL}) ORDER BY url LIMIT 100))))"
+
 ORACLE = {
     "dedupe_first": f"SELECT min(page_id) AS page_id, url FROM ({PAGES_SQL}) GROUP BY url",
     "link_semi_join": f"SELECT src_url, dst_url, page_id, pos FROM {E_} WHERE dst_url IN (SELECT url FROM {T_})",
@@ -168,6 +172,7 @@ c AS (SELECT *, sum(length(anchor) + 1) OVER (PARTITION BY dst_url ORDER BY src_
 SELECT dst_url AS url, string_agg(anchor, ' ' ORDER BY src_url, anchor) AS anchor_text FROM c WHERE total <= 500 GROUP BY dst_url""",
     "graph_bfs_reach": f"WITH RECURSIVE e AS (SELECT parent_url, url FROM {TREE}), r AS (SELECT '/' AS url, 0 AS depth UNION ALL SELECT e.url, r.depth + 1 FROM r JOIN e ON e.parent_url = r.url WHERE r.depth < 4) SELECT url, min(depth) AS depth FROM r GROUP BY url",
     "site_tree": f"SELECT t.url, t.parent_url, len(list_filter(string_split(t.url, '/'), lambda s: s <> ''))::INTEGER AS depth, coalesce((SELECT max(title) FROM ({PAGES_SQL}) p WHERE p.url = t.url), '') AS title, EXISTS (SELECT 1 FROM ({PAGES_SQL}) p WHERE p.url = t.url) AS is_indexed, (SELECT count(*) FROM {TREE} c WHERE c.parent_url = t.url) AS child_count FROM {TREE} t",
+    "site_structure": f"WITH n AS (SELECT node AS url, bool_or(leaf) AS is_indexed FROM {FIRST_NODES} GROUP BY node) SELECT url, is_indexed, (SELECT count(*) FROM n c WHERE c.url <> '/' AND regexp_replace(regexp_replace(c.url, '/[^/]*$', ''), '^$', '/') = n.url) AS child_count FROM n",
     "changed_pages": f"SELECT a.doc_id FROM {CURRENT} a LEFT JOIN {STORED} b ON a.doc_id = b.doc_id WHERE b.doc_id IS NULL OR a.content_hash <> b.content_hash",
     "stale_pages": f"SELECT doc_id FROM {STORED} WHERE NOT custom AND doc_id NOT IN (SELECT doc_id FROM {CURRENT})",
     "stale_chunks": f"SELECT doc_id FROM {STORED} WHERE doc_id NOT IN (SELECT doc_id FROM {CURRENT})",
@@ -204,3 +209,4 @@ SELECT url, title, round(0.5::DOUBLE * (o OR i)::INTEGER + 0.3::DOUBLE * dice +
 SELECT qid, 'top_result' AS kind, qid % 40 = 0 AS passed FROM p UNION ALL SELECT qid, 'in_top_5', qid % 60 = 0 FROM p UNION ALL SELECT qid, 'max_results', qid % 40 = 0 FROM p WHERE qid % 60 <> 0""",
     "public_results": f"SELECT page_id, url, depth::INTEGER AS depth, title || '|' || title AS chunks FROM {H_}",
 }
+ORACLE["site_subtree"] = f"SELECT * FROM ({ORACLE['site_tree']}) WHERE url = '/en' OR url LIKE '/en/%'"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import results as V
 from ..functions import scalars as S
 from ..operators import index as I, pages as G, ranking as R, search as H
 from .base import DEPTH_SQL, NORMAL, PAGES_SQL, PATH_SQL, site_pages, table
@@ -44,6 +45,9 @@ QUERIES = {
     "url_humanize": lambda s, d: _pages(s, d).select("page_id", S.humanize_url_path(F.col("url")).alias("label")),
     "html_file_to_url": lambda s, d: _pages(s, d).select("page_id", S.html_file_to_url(F.concat(F.substring("url", 2, 1000), F.when(F.col("page_id") % 2 == 0, "/index.html").otherwise(".html"))).alias("file_url")),
     "record_ids": lambda s, d: _pages(s, d).select("page_id", S.page_id(F.lit("site"), F.lit("main"), F.col("url")).alias("record_id")),
+    "record_urls": lambda s, d: _pages(s, d).select("page_id", S.url_of_page_id(S.page_id(F.lit("site"), F.when(F.col("page_id") % 2 == 0, "main").otherwise("other"), F.col("url")), F.lit("site"), F.lit("main")).alias("url")),
+    "meta_content": lambda s, d: _labelled(s, d).select("doc_id", *[S.meta_content(F.col("meta")[k]).alias(k) for k in ("quality", "toxic", "kind")]),
+    "wrap_index": lambda s, d: _docs(s, d).select("doc_id", V.wrap_index(F.col("doc_id") % 17 - 8, F.col("doc_id") % 4).alias("at")),
     "text_normalize": lambda s, d: _docs(s, d).select("doc_id", S.normalize_text(F.col("text")).alias("t")),
     "md_normalize": lambda s, d: _docs(s, d).select("doc_id", S.normalize_markdown(F.replace(F.col("text"), F.lit("."), F.lit(". \t"))).alias("t")),
     "md_to_plain": lambda s, d: _docs(s, d).select("doc_id", S.markdown_to_plain(F.col("text")).alias("t")),
@@ -106,6 +110,9 @@ ORACLE = {
     "url_humanize": f"SELECT page_id, array_to_string(list_transform(list_filter(string_split(url, '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '[-_]', ' ', 'g')), ' / ') AS label FROM {P_}",
     "html_file_to_url": f"SELECT page_id, url AS file_url FROM {P_}",
     "record_ids": f"SELECT page_id, 'ss:1:site:main:page:' || replace(url_encode(url), '+', '%20') AS record_id FROM {P_}",
+    "record_urls": f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url END AS url FROM {P_}",
+    "meta_content": "SELECT doc_id, quality::VARCHAR AS quality, CASE WHEN toxic = 1 THEN 'true' ELSE 'false' END AS toxic, 'k' || (doc_id % 3) || ',all' AS kind FROM labels",
+    "wrap_index": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN -1 ELSE ((doc_id % 17 - 8) % (doc_id % 4) + doc_id % 4) % (doc_id % 4) END::BIGINT AS at FROM documents",
     "text_normalize": f"SELECT doc_id, {BLANK.format(x='text')} AS t FROM documents",
     "md_normalize": "SELECT doc_id, regexp_replace(regexp_replace(replace(replace(text, '.', '. ' || chr(9)), chr(13) || chr(10), chr(10)), '(?m)[ \\t]+$', '', 'g'), '^\\s+|\\s+$', '', 'g') || chr(10) AS t FROM documents",
     "md_to_plain": f"SELECT doc_id, {PLAIN} AS t FROM documents",

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from ..operators.index import Index
+
 
 def watch(spark: SparkSession, folder: str, schema: str, act: Callable[[DataFrame], None], checkpoint: str, once: bool = True, every: str = "350 milliseconds") -> StreamingQuery:
     """Calls act with each batch of new files, one batch at a time; what comes meanwhile is the next batch."""
@@ -17,6 +19,12 @@ def watch(spark: SparkSession, folder: str, schema: str, act: Callable[[DataFram
     return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime=every)).start()
 
 
+def watch_into(index: Index, folder: str, checkpoint: str, once: bool = True, **run: object) -> StreamingQuery:
+    """Indexes each batch of new page files (url, html) of a folder. A batch is a part of the site, so it deletes nothing;
+    what is already stored is told by the index itself, and a batch that comes twice changes nothing."""
+    return watch(index.spark, folder, "url string, html string", lambda batch: index.run(batch, warnings=("source-limited",), **run), checkpoint, once)
+
+
 def rate_limit(events: DataFrame, key: str, ts_ms: str, most: int = 60, window_ms: int = 60_000) -> DataFrame:
     """Adds allowed: each key's window opens with its first event and is followed by the next after its end.
 

@@ -248,3 +248,89 @@ def test_small_numbers_and_urls(spark):
     assert [one(spark, S.clamp_int(F.lit(x).cast("double"), 1, 500, 90)) for x in (None, 0.0, 7.9, 1e9)] == [90, 1, 7, 500]
     assert one(spark, S.clamp_int(F.lit(float("nan")), 1, 500, 90)) == 90
     assert one(spark, S.join_url(F.lit("https://a.b//"), F.lit("x"))) == "https://a.b/x"
+
+
+def test_discovery_follows_links_within_limits(spark):
+    from sitewright.sources import site as D
+
+    link = lambda *urls: "<p>x</p>" + "".join(f'<a href="{u}">l</a>' for u in urls)
+    answers = {"/": link("/a", "/b/", "/img.png", "/gone"), "/a": link("/c", "/", "https://else.where/x"), "/b": link("/skip/me"), "/c": link("/d"), "/d": link("/e"), "/e": link(), "/skip/me": link()}
+    rows = [(u, h, 200, "text/html; charset=utf-8") for u, h in answers.items()] + [("/img.png", "", 200, "image/png"), ("/bad", "", 500, "text/html")]
+    frame = spark.createDataFrame(rows, "url string, html string, status int, content_type string")
+    seeds = spark.createDataFrame([("/",), ("/bad/",)], "url string")
+    found = D.discover(frame, seeds, exclude=("/skip/**",))
+    assert {r.url: r.depth for r in found.pages.collect()} == {"/": 0, "/a": 1, "/b": 1, "/c": 2, "/d": 3, "/e": 4} and found.limited_by is None
+    assert {r.url: r.reason for r in found.failures.collect()} == {"/bad": "500", "/gone": "no answer"}
+    found = D.discover(frame, seeds, max_depth=2)
+    assert found.limited_by == "max-depth" and found.pages.count() == 5
+    found = D.discover(frame, seeds, max_pages=2)
+    assert found.limited_by == "max-pages" and sorted(r.url for r in found.pages.collect()) == ["/", "/a"]
+    found = D.discover(frame, seeds, max_pages=0)
+    assert found.pages.count() == 0 and found.limited_by == "max-pages"
+
+
+def test_where_a_site_is_built(spark, tmp_path):
+    from sitewright.sources import site as D
+
+    root = str(tmp_path)
+    assert D.detect_output(spark, root) is None
+    (tmp_path / "build" / "prerendered").mkdir(parents=True)
+    (tmp_path / "build" / "index.html").write_text("x")
+    assert D.detect_output(spark, root) == D.Output("static", "build")
+    (tmp_path / "build" / "handler.js").write_text("x")
+    assert D.detect_output(spark, root) == D.Output("node", "build/prerendered")
+    assert D.robots_of(spark, root, "me") is None
+    (tmp_path / "robots.txt").write_text("User-agent: *\nDisallow: /a\n")
+    assert D.robots_of(spark, root, "me").disallow == ("/a",)
+
+
+def test_scopes_are_resolved():
+    from sitewright.sources import site as D
+
+    assert D.resolve_scope("p") == ("p", "main") and D.resolve_scope("p", asked="Feat/X y") == ("p", "feat-x-y")
+    assert D.resolve_scope("p", mode="env", variable="V", environment={"V": "Dev"}) == ("p", "dev")
+    assert D.resolve_scope("p", mode="git", folder="/", fixed="own") == ("p", "own")
+    for bad in ({"project": "a:b"}, {"project": "p", "asked": "x y", "sanitize": False}, {"project": "p", "mode": "env", "variable": "none", "environment": {}}):
+        with pytest.raises(ValueError):
+            D.resolve_scope(**bad)
+
+
+def test_subtree_of_a_path_that_is_not_there(spark):
+    from sitewright.operators import links as L
+
+    tree = L.site_tree(spark.createDataFrame([("/a/b", "B"), ("/ab", "x")], "url string, title string"))
+    assert sorted(r.url for r in L.subtree(tree, "/a/").collect()) == ["/a", "/a/b"]
+    none = L.subtree(tree, "z/y").collect()
+    assert [(r.url, r.parent_url, r.depth, r.is_indexed, r.child_count) for r in none] == [("/z/y", "/z", 2, False, 0)]
+    rows, more = L.site_structure(spark.createDataFrame([(f"/{i}", "t") for i in range(5)], "url string, title string"), most=3)
+    assert more and sorted(r.url for r in rows.collect()) == ["/", "/0", "/1", "/2"]
+
+
+def test_scroll_matches(spark):
+    from sitewright.functions import results as V
+
+    at = lambda text, needle: (r.start, r.end) if (r := one(spark, V.scroll_match(F.lit(text), F.lit(needle)))) else None
+    assert at("How to Set - up it", "set up") == (7, 15)
+    assert at("one setup", "set up") == (4, 9)
+    assert at("c++ here", "++") == (1, 3) and at("abc", "x y") is None and at("abc", "") is None
+    assert one(spark, V.wrap_index(F.lit(-1), F.lit(3))) == 2 and one(spark, V.wrap_index(F.lit(1), F.lit(0))) == -1
+
+
+def test_json_and_ids(spark):
+    assert one(spark, S.safe_json(F.lit("[1, 2]"), "array<int>", F.array(F.lit(0)))) == [1, 2]
+    assert one(spark, S.safe_json(F.lit("{"), "array<int>", F.array(F.lit(0)))) == [0]
+    ids = S.page_id(F.lit("p"), F.lit("main"), F.lit("/a b+c"))
+    assert one(spark, S.url_of_page_id(ids, F.lit("p"), F.lit("main"))) == "/a b+c" and one(spark, S.url_of_page_id(ids, F.lit("p"), F.lit("other"))) is None
+    with pytest.raises(ValueError):
+        S.safe_literal("a'b")
+
+
+def test_watched_folders_fill_an_index(spark, tmp_path):
+    index = I.Index(spark, str(tmp_path / "index"), "p", "main")
+    rows = lambda a, b: spark.createDataFrame([(f"https://a.b/{i}", page(f"t{i}", "<p>x</p>")) for i in range(a, b)], "url string, html string")
+    rows(0, 3).write.parquet(str(tmp_path / "in"))
+    W.watch_into(index, str(tmp_path / "in"), str(tmp_path / "state")).awaitTermination(120)
+    assert index.read().count() == 3
+    rows(2, 5).write.mode("append").parquet(str(tmp_path / "in"))
+    W.watch_into(index, str(tmp_path / "in"), str(tmp_path / "state")).awaitTermination(120)
+    assert index.read().count() == 5 and index.health() == (True, None)
