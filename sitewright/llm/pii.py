@@ -30,7 +30,7 @@ from .common import arrow_rows
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("tel", "iban", "ssn", "login", "account", "routing")
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -163,7 +163,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder()
         for batch, (texts,) in arrow_rows(batches, "text"):
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for text in texts:
                 found = finder.spans(text or "")
                 for k, kind in enumerate(BASE_KINDS):
@@ -171,8 +171,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 out[4].append(hashlib.sha256(listed(found, BASE_KINDS).encode()).hexdigest())
                 out[5].append(listed(found, (*BASE_KINDS, *ADDED_KINDS)))
                 out[6].append(sum(len(found[k]) for k in ADDED_KINDS))
-            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.string()), pa.array(out[5], pa.string()), pa.array(out[6], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                out[7].append(sum(map(len, found.values())))
+            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.string()), pa.array(out[5], pa.string()), pa.array(out[6], pa.int64()), pa.array(out[7], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(find, SCHEMA)
 

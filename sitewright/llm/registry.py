@@ -93,10 +93,25 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+OP8_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), g AS (
+  SELECT r, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT r, list_transform(range(1, len(ws) - 33), lambda i: array_to_string(ws[i:i + 34], ' ')) AS s FROM w WHERE len(ws) >= 35)
+), d AS (
+  SELECT s FROM g GROUP BY s HAVING count(*) > 1
+), h AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM g SEMI JOIN d USING (s)
+), k AS (
+  SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM (SELECT r, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w) ANTI JOIN h USING (r, i) GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)
+"""
+
 
 def queries() -> dict[str, Query]:
     return {"op1_warc": op1_warc, "op2_sharding": op2_sharding, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_decontaminate": op7_decontaminate, "op8_substring": op8_substring, "op9_neardup": op9_neardup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op1_warc": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op8_substring": OP8_SQL}

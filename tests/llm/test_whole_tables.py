@@ -176,3 +176,18 @@ def test_pipeline_over_hard_tables(spark, tmp_path):
 
 def test_pipeline_over_empty_tables(spark, tmp_path):
     assert _pipeline(spark, tmp_path, [], []).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_queries_give_the_rows_of_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
+    df = registry.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    cursor = con.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in cursor.description]
+    want = Counter(tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall())
+    assert sorted(names) == columns and Counter(tuple(r[c] for c in columns) for r in df.collect()) == want
