@@ -38,5 +38,8 @@ QUERIES = {
 ORACLE = {
     "src_pages": "SELECT 'indexed' AS status, count(*) AS n FROM pages",
     "heading_sections": "SELECT doc_id::VARCHAR AS url, lang AS section, 1 AS level FROM documents",
+    "rate_limit": """WITH e AS (SELECT user_id, list({'opened': epoch_ms(ts), 'n': 1, 'allowed': 1} ORDER BY ts) AS l FROM events GROUP BY user_id),
+f AS (SELECT user_id, len(l) AS total, list_reduce(l, lambda a, b: CASE WHEN b.opened >= a.opened + 86400000 THEN {'opened': b.opened, 'n': 1, 'allowed': a.allowed + 1} ELSE {'opened': a.opened, 'n': a.n + 1, 'allowed': a.allowed + CASE WHEN a.n < 2 THEN 1 ELSE 0 END} END).allowed AS k FROM e)
+SELECT user_id, true AS allowed, k::BIGINT AS n FROM f UNION ALL SELECT user_id, false, (total - k)::BIGINT FROM f WHERE total > k""",
     "session_counts": "WITH e AS (SELECT user_id, CASE WHEN epoch_ms(ts) - epoch_ms(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 1800000 THEN 0 ELSE 1 END AS new FROM events) SELECT user_id, sum(new)::BIGINT AS sessions, count(*) AS events FROM e GROUP BY user_id",
 }
