@@ -16,15 +16,14 @@ def _bare(pattern: str) -> str:
 
 
 def matches(url: Column, pattern: str) -> Column:
-    """Exact, /p/* (one more segment) or /p/** (p and all below)."""
-    u = F.when((url != "/") & F.endswith(url, F.lit("/")), F.regexp_replace(url, "/$", "")).otherwise(url)
+    """Exact, /p/* (one more segment) or /p/** (p and all below); a slash at the url's end says nothing. The url is named
+    once, so generated code stays small."""
     p = _bare(pattern)
     if p.endswith("/**"):
-        p = p[:-3]
-        return F.lit(True) if p == "" else (u == p) | F.startswith(u, F.lit(p + "/"))
+        return F.lit(True) if p == "/**" else url.rlike(f"(?s)^{re.escape(p[:-3])}(/.*)?$")
     if p.endswith("/*"):
-        return u.rlike("^" + re.escape(p[:-2]) + "/[^/]+$") if p != "/*" else (u != "/") & ~F.contains(F.substring(u, 2, 1 << 30), F.lit("/"))
-    return u == p
+        return url.rlike(f"^{re.escape(p[:-2])}/[^/]+/?$")
+    return url == "/" if p == "/" else url.rlike(f"^{re.escape(p)}/?$")
 
 
 def matches_any(url: Column, patterns: list[str]) -> Column:
@@ -41,8 +40,8 @@ def weight_for(url: Column, weights: dict[str, float]) -> Column:
 
 def effective_weight(url: Column, own: Column, weights: dict[str, float]) -> Column:
     """A page's own weight, else the configured one; 0 if either says that the page is left out."""
-    config = weight_for(url, weights)
-    return F.when(config == 0, F.lit(0.0)).otherwise(F.coalesce(own.cast("double"), config))
+    chosen = F.transform(F.array(weight_for(url, weights)), lambda config: F.when(config == 0, F.lit(0.0)).otherwise(F.coalesce(own.cast("double"), config)))
+    return F.get(chosen, F.lit(0))
 
 
 @dataclass(frozen=True)
