@@ -79,10 +79,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one row of each group of equal texts, all columns as they were."""
-    rows = written(digest_rows(docs, id_col, text_col), "digests")
-    best = merge_runs(rows).select("digest", F.col("best.id").alias("best_id"), (-F.col("best.neg_points")).alias("best_points"))
+    """The documents with one row of each group of equal texts, all columns as they were. Rows move once: joining and
+    telling apart rows that agree in everything go by one key."""
+    best = merge_runs(written(digest_rows(docs, id_col, text_col), "digests"))
+    best = best.select(row_key(F.col("digest"), F.col("best.id"), -F.col("best.neg_points")).alias("key"))
     text = text_or_empty(text_col)
-    keyed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.length(text).alias("n_points"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"))
-    same = (keyed.digest == best.digest) & keyed.id.eqNullSafe(best.best_id) & (keyed.n_points == best.best_points)
-    return keyed.join(best, same, "left_semi").dropDuplicates(["digest", "id", "n_points"]).select("doc.*")
+    digest = F.unhex(F.sha2(normalised(text), 256))
+    keyed = docs.select(F.struct("*").alias("doc"), row_key(digest, F.col(id_col), F.length(text)).alias("key"))
+    return keyed.join(best, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
+
+
+def row_key(digest: Column, row_id: Column, n_points: Column) -> Column:
+    """Digest, length and id in one text that is never null; no id is told from every id."""
+    return F.concat_ws(":", F.hex(digest), n_points, F.coalesce(F.concat(F.lit("="), row_id.cast("string")), F.lit("-")))

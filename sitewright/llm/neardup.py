@@ -334,7 +334,9 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, all columns as they were."""
-    kept = written(near_classes(docs, similarity, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).distinct(), "kept")
-    keyed = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text_or_empty(text_col))).alias("node"))
-    return keyed.join(kept, keyed.id.eqNullSafe(kept.kept_id) & (keyed.node == kept.kept_node), "left_semi").dropDuplicates(["id", "node"]).select("doc.*")
+    """One document of each class, all columns as they were. Rows move once: joining and telling apart rows that agree in
+    id and text go by one key."""
+    key = lambda node, row_id: F.concat_ws(":", F.hex(node), F.coalesce(F.concat(F.lit("="), row_id.cast("string")), F.lit("-"))).alias("key")
+    kept = written(near_classes(docs, similarity, id_col, text_col).filter("kept").select(key(F.col("node"), F.col("doc_id"))), "kept")
+    keyed = docs.select(F.struct("*").alias("doc"), key(F.unhex(F.md5(text_or_empty(text_col))), F.col(id_col).cast("long")))
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
