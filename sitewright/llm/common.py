@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MOST_HOT = 50_000  # keys that may be broadcast as hot ones: a few MB
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,6 +70,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def counted_twice(rows: DataFrame, counts: DataFrame, key: str, most_hot: int = MOST_HOT) -> DataFrame:
+    """The rows whose key counts (key and n, one row a key) counted more than once. Keys of so many rows that there are at
+    most `most_hot` of them are broadcast, so that their rows stay where they lie; the others are joined by a shuffle, in
+    which no key has more rows."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot_from = max(1000, total // most_hot)
+    hot = F.broadcast(counts.filter(F.col("n") >= hot_from).select(key))
+    rest = counts.filter((F.col("n") > 1) & (F.col("n") < hot_from)).select(key)
+    return rows.join(hot, key, "left_semi").unionByName(rows.join(hot, key, "left_anti").join(rest, key, "left_semi"))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -12,8 +12,9 @@ that smooths the weight. Two texts are near duplicates if their weighted Jaccard
    rounds over links.
 3. Buckets that still hold several components are compared in blocks. Every node outside a bucket's largest component
    is compared with every node of the bucket's other components, so no link between classes is lost. Both sides are
-   dealt by hash into blocks of bounded rows and bytes; a block holds each of its texts once and gives one link for
-   each pair of components it joins, so neither text pairs nor all links are ever rows.
+   dealt by hash into blocks of bounded rows and bytes; a block holds each of its texts once, compares only texts whose
+   sums of weights allow the similarity, and gives one link for each pair of components it joins, so neither text pairs
+   nor all links are ever rows.
 
 Defined results: a text of one to four words is one shingle of all its words; null, empty and blank texts have none
 and are near duplicates only of texts equal to them; ids may be null or repeat (the smallest id that is not null names
@@ -230,20 +231,30 @@ def joining_links(group: np.ndarray, is_pivot: np.ndarray, root: np.ndarray, tex
         if middle in (first, end):
             continue
         label = root[first:end].copy()
-        members = label[middle - first :]  # a view: changes with label
-        c, v, cuts = codes[at[middle] : at[end]], w[at[middle] : at[end]], at[middle:end] - at[middle]
+        # members by weight: only those between similarity * and 1 / similarity * a pivot's weight can be near it
+        order = np.argsort(total[middle:end], kind="stable") + middle
+        sizes, sums, own = at[order + 1] - at[order], total[order], label[order - first]
+        cuts = np.cumsum(sizes) - sizes
+        places = np.repeat(at[order] - cuts, sizes) + np.arange(sizes.sum())
+        c, v = codes[places], w[places]
         for i in range(first, middle):
-            if (members == label[i - first]).all():
+            mine = label[i - first]
+            lo = int(np.searchsorted(sums, total[i] * (similarity - 1e-9), "left"))
+            hi = int(np.searchsorted(sums, total[i] / (similarity - 1e-9), "right"))
+            if lo == hi or (own[lo:hi] == mine).all():
                 continue
-            own = slice(at[i], at[i + 1])
-            one[codes[own]] = w[own]
-            low = np.add.reduceat(np.minimum(one[c], v), cuts)
-            one[codes[own]] = 0
-            near = low >= (similarity - 1e-9) * (total[i] + total[middle:end] - low)
-            for j in np.flatnonzero(near & (members != label[i - first])).tolist():
-                if members[j] != label[i - first]:
-                    out.append((i, middle + j))
-                    label[label == members[j]] = label[i - first]
+            held = slice(at[i], at[i + 1])
+            one[codes[held]] = w[held]
+            span = slice(cuts[lo], cuts[hi - 1] + sizes[hi - 1])
+            low = np.add.reduceat(np.minimum(one[c[span]], v[span]), cuts[lo:hi] - cuts[lo])
+            one[codes[held]] = 0
+            near = low >= (similarity - 1e-9) * (total[i] + sums[lo:hi] - low)
+            for j in (np.flatnonzero(near & (own[lo:hi] != mine)) + lo).tolist():
+                if own[j] != mine:
+                    out.append((i, int(order[j])))
+                    merged = own[j]
+                    label[label == merged] = mine
+                    own[own == merged] = mine
     return out
 
 

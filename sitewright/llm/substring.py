@@ -13,9 +13,9 @@ tree is cut into subtrees by prefixes of varying length, and each subtree is bui
    by all their words, which makes each group one node. The other groups are built whole: suffixes are ranked by prefix
    doubling over exact word numbers, and windows of equal rank are the leaves of one node. No hash decides there.
 
-Paths are counted with sums before they move, so a passage that a third of all rows share loads no task; joins that
-bring counts back to rows have one row a key on the counted side, written first, so Spark can split hot keys. Texts
-move once: they are held in a table bucketed by row, which later steps join where it lies.
+Paths are counted with sums before they move, so a passage that a third of all rows share loads no task. Counts come
+back to rows by a broadcast of the hottest keys, whose number is bounded, and by a shuffle for the others. Texts move
+once: they are held in a table bucketed by row, which later steps join where it lies.
 
 Defined results: a null text has no words; ids may be null or repeat (rows equal in id and text are occurrences of
 their own); texts are read whole, of any length; an empty table gives no rows; other columns are left alone.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bucketed, released, text_or_empty, written
+from .common import arrow_rows, bucketed, counted_twice, released, text_or_empty, written
 from .wordhash import BASES, Powers, Words, chunks
 
 SEED = 8
@@ -203,8 +203,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([_signed(seed), pa.array(np.array(keys, np.int64)[first + words.doc[a]])], names=["seed", "row_key"])
 
     prefixes = written(docs.select("text", "row_key").mapInArrow(seeds, "seed long, row_key long"), "prefixes")
-    again = written(prefixes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "seeds")
-    of_rows = prefixes.join(again, "seed", "left_semi").groupBy("row_key").agg(F.collect_set("seed").alias("seeds"))
+    again = written(prefixes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1"), "seeds")
+    of_rows = counted_twice(prefixes, again, "seed").groupBy("row_key").agg(F.collect_set("seed").alias("seeds"))
     held = bucketed(docs.join(of_rows, "row_key", "left").select("row_key", "doc_id", "text", "seeds"), "row_key", "held")
 
     # 2. segments of recurring prefixes, and their paths
@@ -230,7 +230,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     segments = written(segments, "segments")
     paths = segments.groupBy("prefix", "path").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "row_key", "a", "m")])
     paths = written(paths, "paths")
-    whole = segments.join(paths.filter("n > 1").select("path"), "path", "left_semi").select("doc_id", "row_key", "a", "m")
+    whole = counted_twice(segments, paths.select("path", "n"), "path").select("doc_id", "row_key", "a", "m")
 
     # 3. subtrees of prefixes with several paths
     several = written(paths.groupBy("prefix").agg(F.count("*").alias("ways")).filter("ways > 1").select("prefix"), "several")

@@ -191,3 +191,25 @@ def test_queries_give_the_rows_of_their_sql(spark, name):
     names = [c[0] for c in cursor.description]
     want = Counter(tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall())
     assert sorted(names) == columns and Counter(tuple(r[c] for c in columns) for r in df.collect()) == want
+
+
+def test_intermediate_tables_go_when_they_are_cleared(spark):
+    from sitewright.llm import common
+
+    kept, gone = common.written(spark.range(3).toDF("x"), "kept"), common.written(spark.range(4).toDF("x"), "gone")
+    common.removed(spark, gone)
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        gone.collect()
+    common.clear(spark)
+    with pytest.raises(Exception):
+        kept.collect()
+
+
+def test_hot_keys_are_counted_as_others(spark):
+    from sitewright.llm import common
+
+    rows = spark.range(3010).select(F.when(F.col("id") < 3000, "hot").when(F.col("id") < 3003, "some").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    assert sorted(r.id for r in common.counted_twice(rows, counts, "k").collect()) == list(range(3003))
+    assert common.counted_twice(rows.limit(0), counts.limit(0), "k").count() == 0
