@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import pages as P, retrieval as R
 from ..streaming import watch as W
 from .base import table
+from .scalar_queries import LINKS_SQL
 
 
 def _headed(s: SparkSession, d: str) -> DataFrame:
@@ -26,6 +27,7 @@ def _hybrid(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "html_extract": lambda s, d: P.extract_pages(table(s, d, "pages"), main="article").select("url", "status", "title", F.length("markdown").alias("n")),
+    "page_titles": lambda s, d: P.extract_pages(table(s, d, "pages"), main="article").select("url", "status", "title"),
     "page_links": lambda s, d: P.extract_pages(table(s, d, "pages"), drop=("script", "style")).select("url", F.explode("links").alias("l")).select("url", F.col("l.url").alias("dst_url"), F.col("l.anchor_text").alias("anchor_text")),
     "src_pages": lambda s, d: P.extract_pages(table(s, d, "pages")).groupBy("status").agg(F.count("*").alias("n")),
     "heading_sections": lambda s, d: P.chunk_pages(_headed(s, d)).select("url", "section", "level").distinct(),
@@ -35,7 +37,11 @@ QUERIES = {
     "rate_limit": lambda s, d: W.rate_limit(table(s, d, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")), "user_id", "ms", most=2, window_ms=86_400_000).groupBy("user_id", "allowed").agg(F.count("*").alias("n")),
 }
 
+SHOWN = "trim(regexp_replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
 ORACLE = {
+    "page_titles": f"SELECT url, 'indexed' AS status, {SHOWN.format(x="regexp_extract(html, '<h1>([^<]*)', 1)")} AS title FROM pages",
+    "page_links": f"SELECT url, dst_url, anchor_text FROM (SELECT DISTINCT page_id, p.url, dst_url, {SHOWN.format(x='anchor_text')} AS anchor_text FROM ({LINKS_SQL}) l JOIN pages p USING (page_id))",
     "src_pages": "SELECT 'indexed' AS status, count(*) AS n FROM pages",
     "heading_sections": "SELECT doc_id::VARCHAR AS url, lang AS section, 1 AS level FROM documents",
     "rate_limit": """WITH e AS (SELECT user_id, list({'opened': epoch_ms(ts), 'n': 1, 'allowed': 1} ORDER BY ts) AS l FROM events GROUP BY user_id),
