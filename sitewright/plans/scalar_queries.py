@@ -9,7 +9,7 @@ from ..functions import patterns as P
 from ..functions import results as V
 from ..functions import scalars as S
 from ..operators import index as I, pages as G, ranking as R, search as H
-from .base import DEPTH_SQL, NORMAL, PAGES_SQL, PATH_SQL, site_pages, table
+from .base import DEPTH_SQL, NORMAL, PAGES_SQL, site_pages, table
 
 WEIGHTS = {"/en/**": 1.5, "/de/*": 0.5, "/fr/**": 0.0}
 ROBOTS = "User-agent: *\nDisallow: /es/  # not yet\nDisallow: /de/7\nAllow: /de/77\n\nUser-agent: other\nDisallow: /\n"
