@@ -69,6 +69,10 @@ QUERIES = {
     "url_pattern_match": lambda s, d: _pages(s, d).select("page_id", P.matches(F.col("url"), "/en/**").alias("below"), P.matches(F.col("url"), "/de/*").alias("one"), P.matches(F.col("url"), "/es/").alias("exact")),
     "page_weight": lambda s, d: _pages(s, d).select("page_id", P.weight_for(F.col("url"), WEIGHTS).alias("weight")),
     "weight_filter": lambda s, d: _pages(s, d).withColumn("own", F.when(F.col("page_id") % 5 == 0, 0.0).when(F.col("page_id") % 5 == 1, 2.0)).select("page_id", P.effective_weight(F.col("url"), F.col("own"), WEIGHTS).alias("weight")).filter("weight <> 0"),
+    "exclude_list": lambda s, d: _pages(s, d).filter(~P.matches_any(F.col("url"), ["/en/**", "/es/", "/de/*"])),
+    "content_file_url": lambda s, d: _docs(s, d).select("doc_id", S.content_file_to_url(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("src/routes/(app)/"), "lang", F.lit("/[id]/[...rest]/+page.svelte"))).when(F.col("doc_id") % 3 == 1, F.concat_ws("/", "lang", "doc_id", F.lit("index.md"))).otherwise(F.concat("lang", F.lit("//"), "doc_id", F.lit(".md")))).alias("url")),
+    "anchor_boost": lambda s, d: site_pages(s, d).select("page_id", F.round(R.boosted(F.lit(1.0), F.col("page_id") % 5, F.lit(2), F.lit("none"), F.lit("The"), R.Boosts(use_anchor=True), anchor=F.col("title"))["final"], 6).alias("final")),
+    "highlight_parts": lambda s, d: site_pages(s, d).select("page_id", F.array_join(F.transform(V.highlight_parts(F.col("title"), F.lit(" the  a+b")), lambda p: F.when(p["match"], F.concat(F.lit("<"), p["text"], F.lit(">"))).otherwise(p["text"])), "").alias("shown")),
     "robots_filter": lambda s, d: _pages(s, d).filter(~P.blocked_by_robots(F.col("url"), P.parse_robots(ROBOTS, "sitewright"))),
     "filter_path_prefix": lambda s, d: _pages(s, d).filter(H.below(F.col("url"), "e")),
     "filter_tags_all": lambda s, d: _docs(s, d).filter(H.has_tags(F.array("lang", "source"), ("en", "src1"))).select("doc_id"),
@@ -132,6 +136,10 @@ SELECT doc_id, CASE WHEN length(t) <= 3500 THEN t ELSE regexp_replace(left(t, 35
     "url_pattern_match": f"SELECT page_id, (url = '/en' OR url LIKE '/en/%') AS below, regexp_full_match(url, '/de/[^/]+') AS one, url = '/es' AS exact FROM {P_}",
     "page_weight": f"SELECT page_id, {WEIGHT_SQL} AS weight FROM {P_}",
     "weight_filter": f"WITH w AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 2.0 END AS own, {WEIGHT_SQL} AS config FROM {P_}) SELECT page_id, coalesce(own, config)::DOUBLE AS weight FROM w WHERE coalesce(own, 1) <> 0 AND config <> 0",
+    "exclude_list": f"SELECT page_id, url FROM {P_} WHERE NOT (url = '/en' OR url LIKE '/en/%' OR url = '/es' OR regexp_full_match(url, '/de/[^/]+'))",
+    "content_file_url": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '/' || lang || '/param/splat' ELSE '/' || lang || '/' || doc_id END AS url FROM documents",
+    "anchor_boost": f"SELECT page_id, round(1::DOUBLE + ln(1 + (page_id % 5)::DOUBLE) * 0.05::DOUBLE + 0.01::DOUBLE + CASE WHEN {TITLE_SQL} <> '' AND (contains({TITLE_SQL}, 'the') OR contains('the', {TITLE_SQL})) THEN 0.1::DOUBLE ELSE 0 END, 6) AS final FROM {P_}",
+    "highlight_parts": f"SELECT page_id, regexp_replace(title, '(?i)(the|a\\+b)', '<\\1>', 'g') AS shown FROM {P_}",
     "robots_filter": f"SELECT page_id, url FROM {P_} WHERE NOT (greatest(CASE WHEN url LIKE '/es/%' THEN 4 ELSE 0 END, CASE WHEN url LIKE '/de/7%' THEN 5 ELSE 0 END) > CASE WHEN url LIKE '/de/77%' THEN 6 ELSE 0 END)",
     "filter_path_prefix": f"SELECT page_id, url FROM {P_} WHERE url LIKE '/e%'",
     "filter_tags_all": "SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src1'",
