@@ -85,17 +85,33 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches of a task. After the last one, free memory goes back to the system: workers outlive their tasks, and
-    what an idle one holds is missing from its executor."""
-    yield from batches
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """From now on this session hands Python at most that many rows and bytes at once, if it handed over more before."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or int(now) == 0 or int(now) > most:
+            spark.conf.set(key, str(most))
+
+
+def trimmed() -> None:
+    """Gives free memory back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
     if trim:
         trim(0)
 
 
-def arrow_rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
-    """Each Arrow batch with the named columns as Python lists."""
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task. After the last one, free memory goes back to the system: workers outlive their tasks, and
+    what an idle one holds is missing from its executor."""
+    yield from batches
+    trimmed()
+
+
+def arrow_rows(batches: Iterator[pa.RecordBatch], *names: str, most: int = 1024) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
+    """Each Arrow batch, in parts of at most `most` rows, with the named columns as Python lists: one part's texts are
+    held at a time."""
     for batch in released(batches):
-        yield batch, [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+        for i in range(0, batch.num_rows, most):
+            part = batch.slice(i, most)
+            yield part, [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]

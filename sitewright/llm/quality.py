@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, released, text_or_empty
+from .common import arrow_rows, text_or_empty
 
 GOOD, BAD, NONE = 1, 0, 2
 LABELLERS = 12
@@ -248,13 +248,12 @@ def keep_good(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> Da
     """The accepted documents, all columns as they were. Rows are judged where they lie; nothing is joined."""
     share, table, weights = fit(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, shapes = shared.value, _Shapes()
-        for batch in released(batches):
+        for batch, (texts,) in arrow_rows(batches, text_col):
             good = []
-            for t in batch.column(place).to_pylist():
+            for t in texts:
                 m = measures(t or "")
                 z = w[-1] + sum(x * w[k] for k, x in features(t or "", m, shapes).items())
                 good.append(m["n"] > 0 and z >= np.log(least / (1 - least)))

@@ -419,3 +419,9 @@ def test_pii_added_kinds_are_all_found(spark):
                 before, after = f"words 12 and {shown}" + rng.choice(["", " "] if kind != "login" else [""]), "@host/x" if kind == "login" else rng.choice([", then", " then words", "."])
                 found = finder.spans(before + value + after)[kind]
                 assert [(before + value + after)[a:b] for a, b in found] == [value], (kind, before + value + after)
+
+
+def test_pii_offsets_hold_where_small_letters_are_longer():
+    text = "İİ TEL: 5551234567 and İ IBAN DE89370400440532013000 x"
+    found = pii.Finder().spans(text)
+    assert [text[a:b] for kind in ("tel", "iban") for a, b in found[kind]] == ["5551234567", "DE89370400440532013000"]

@@ -145,8 +145,9 @@ def test_op7_finds_reparameterised_items(spark):
 def test_op7_a_window_that_all_share_makes_no_pairs(spark):
     """All items and documents share one long beginning; only rarer windows bring them together."""
     shared = "please read the following question with care and then write down the right answer"
-    items = [(k, f"{shared} what is the item{k} of thing{k} in place{k}") for k in range(30)]
-    docs = [(i, f"{shared} nothing{i} more{i} is said here{i} now{i}") for i in range(200)] + [(500 + k, t) for k, t in items]
+    own = lambda k: "abcdefghijklmnopqrst"[k // 20] + "abcdefghijklmnopqrst"[k % 20]  # noqa: E731  letters, as numbers would be slots
+    items = [(k, f"{shared} what is the item{own(k)} of thing{own(k)} in place{own(k)}") for k in range(30)]
+    docs = [(i, f"{shared} nothing{own(i)} more{own(i)} is said here{own(i)} now{own(i)}") for i in range(200)] + [(500 + k, t) for k, t in items]
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(500 + k, k) for k in range(30)}
 
