@@ -19,8 +19,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import pickle
 import sys
 import types
+import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -31,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, released
+from .common import arrow_rows, released, trimmed
 
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 WHITE_SPACE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | set(map(chr, range(0x2000, 0x200B)))
@@ -61,16 +63,16 @@ def load_file(path: str) -> dict:
 
 
 class Memory:
-    """Pieces with their ids and with the bytes that these decode to. When REMEMBERED are held they become the older
-    half, from which those that are met again come back; what was older before is forgotten."""
+    """Pieces with their ids and with the bytes that these decode to. When as many as wanted are held they become the
+    older half, from which those that are met again come back; what was older before is forgotten."""
 
     def __init__(self) -> None:
         self.ids: dict[str, bytes] = {}
         self.raw: dict[str, bytes] = {}
         self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
-    def age(self) -> None:
-        if len(self.ids) > REMEMBERED:
+    def age(self, most: int) -> None:
+        if len(self.ids) > most:
             self.older, self.ids, self.raw = (self.ids, self.raw), {}, {}
 
     def unknown(self, pieces: set[str]) -> list[str]:
@@ -128,6 +130,12 @@ class Codec:
         for s, i in self.vocab.items():
             self.own[i] = len(s) == 1 or self.exact(s) == [i]
 
+    def forget(self) -> None:
+        """Lets go of all remembered pieces: a worker that waits for other work should hold no more than the vocabulary."""
+        self.heads, self.pieces = Memory(), Memory()
+        self.good_pairs = self.bad_pairs = np.zeros(0, np.int64)
+        trimmed()
+
     # exact merging
 
     def exact(self, word: str) -> list[int]:
@@ -266,10 +274,10 @@ class Codec:
         known.ids.update(zip(pieces, found, strict=True))
         known.raw.update((p, data[a:b]) for p, a, b in zip(pieces, ends[:-1], ends[1:], strict=True))
 
-    def both_ways(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+    def both_ways(self, texts: list[str], remembered: int = REMEMBERED) -> list[tuple[bytes, bytes]]:
         """Of each text its ids, and the bytes that they decode to."""
-        self.pieces.age()
-        self.heads.age()
+        self.pieces.age(remembered)
+        self.heads.age(remembered // 8)  # of few texts the first piece comes back
         sections: list[list[list[str] | int]] = []
         heads: set[str] = set()
         rest: set[str] = set()
@@ -308,16 +316,16 @@ class Codec:
 
 
 def _codec(shared) -> Codec:
-    """One codec for each worker process and tokenizer; it outlives tasks."""
+    """One codec for each worker process and tokenizer; it outlives tasks, without the pieces it remembers."""
     kept = sys.modules.setdefault("_corpus_codecs", types.ModuleType("_corpus_codecs"))
     found = vars(kept).get(shared.value["name"])
     if found is None:
-        found = vars(kept)[shared.value["name"]] = Codec(shared.value)
+        found = vars(kept)[shared.value["name"]] = Codec(pickle.loads(zlib.decompress(shared.value["file"])))
     return found
 
 
 def _shared(docs: DataFrame, path: str):
-    return docs.sparkSession.sparkContext.broadcast(load_file(path) | {"name": path})  # a vocabulary: fixed size
+    return docs.sparkSession.sparkContext.broadcast({"name": path, "file": zlib.compress(pickle.dumps(load_file(path)))})  # a vocabulary: fixed size, packed as workers keep it
 
 
 def _slices(texts: pa.Array, most: int) -> Iterator[list[str]]:
@@ -343,6 +351,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in released(batches):
             ids = [x for run in _slices(batch.column("text"), RUN_CHARS) for x in codec.encode_batch(run)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        codec.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary")
 
@@ -359,9 +368,10 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
 
 
-def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", run_chars: int = RUN_CHARS) -> DataFrame:
+def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", run_chars: int = RUN_CHARS, remembered: int = REMEMBERED, keep_codec: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 in one pass over the texts, about run_chars characters at a time:
-    longer runs take less time and more memory, and give the same rows."""
+    longer runs, and more remembered pieces, take less time and more memory, and give the same rows. Without keep_codec each task builds its own codec, and
+    workers that wait for other work hold nothing of it."""
     shared = _shared(docs, path)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,10 +379,15 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         for batch in released(batches):
             n, a, b = [], [], []
             for run in _slices(batch.column("text"), run_chars):
-                for ids, raw in codec.both_ways(run):
+                for ids, raw in codec.both_ways(run, remembered):
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
                     b.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()
+        if not keep_codec:
+            vars(sys.modules["_corpus_codecs"]).pop(shared.value["name"], None)
+            del codec
+            trimmed()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
