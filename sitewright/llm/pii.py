@@ -103,7 +103,10 @@ class Finder:
     def spans(self, text: str) -> dict[str, list[tuple[int, int]]]:
         found: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE_KINDS, *ADDED_KINDS)}
         email_end = ip_end = card_end = phone_end = 0
-        for last, sign in self.anchors.iter(text.translate(SMALL)):
+        low = text.lower()
+        if len(low) != len(text):  # a letter that becomes two would move all offsets
+            low = text.translate(SMALL)
+        for last, sign in self.anchors.iter(low):
             if "0" <= sign <= "9":
                 if last >= card_end:
                     card_end = last + 1
