@@ -316,7 +316,7 @@ class Codec:
 
 
 def _codec(shared) -> Codec:
-    """One codec for each worker process and tokenizer; it outlives tasks, without the pieces it remembers."""
+    """One codec for each worker process and tokenizer; it outlives tasks."""
     kept = sys.modules.setdefault("_corpus_codecs", types.ModuleType("_corpus_codecs"))
     found = vars(kept).get(shared.value["name"])
     if found is None:
@@ -351,7 +351,6 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in released(batches):
             ids = [x for run in _slices(batch.column("text"), RUN_CHARS) for x in codec.encode_batch(run)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-        codec.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary")
 
@@ -384,10 +383,8 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
                     a.append(hashlib.sha256(ids).hexdigest())
                     b.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        codec.forget()
         if not keep_codec:
             vars(sys.modules["_corpus_codecs"]).pop(shared.value["name"], None)
-            del codec
-            trimmed()
+            codec.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
